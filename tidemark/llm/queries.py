@@ -8,6 +8,21 @@ from pyspark.sql import functions as F
 from .common import table
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secret_scan import BASE_RULES, scan
+
+    found = scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    of_kind = lambda kind: lambda s: s["kind"] == kind
+    base = F.filter("spans", lambda s: s["rule"] < len(BASE_RULES))
+    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    return found.select(
+        "doc_id",
+        *(F.size(F.filter("spans", of_kind(r.kind))).cast("long").alias(f"n_{r.kind}") for r in BASE_RULES),
+        F.sha2(joined(base), 256).alias("base_sha256"),
+        joined(F.col("spans")).alias("spans"),
+    )
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import quality
 
@@ -16,8 +31,13 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op10_quality_rules": op10_quality_rules}
+    return {
+        "op3_secret_scan": op3_secret_scan,
+        "op10_quality_rules": op10_quality_rules,
+    }
 
 
 def oracle_sql() -> dict:
-    return {}
+    from . import oracle
+
+    return {"op3_secret_scan": oracle.secret_scan()}
