@@ -29,3 +29,28 @@ def secret_scan() -> str:
         f"SELECT any_value(d.doc_id) AS doc_id, {counts}, sha256(coalesce(string_agg({one}, ',' ORDER BY start, k) FILTER (s.k < {base}), '')) AS base_sha256, "
         f"coalesce(string_agg({one}, ',' ORDER BY start, k), '') AS spans FROM d LEFT JOIN s ON d.r = s.r GROUP BY d.r"
     )
+
+
+def chat_format() -> str:
+    """Digests from the rows themselves; lengths from the escapes that each text needs; the turn order as a regular expression over role letters."""
+    from .chat import TEMPLATE
+
+    def escaped(x: str) -> str:
+        out = f"replace({x}, '\\', '\\\\')"
+        for c in TEMPLATE.controls:
+            out = f"replace({out}, '{c}', '{c[0]}\\{c[1:]}')"
+        return out
+
+    fixed = len(TEMPLATE.start) + len(TEMPLATE.message) + len(TEMPLATE.end)
+    order = "ORDER BY turn NULLS FIRST, role, text"
+    return f"""WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' {order}) AS turns,
+  coalesce(string_agg(text, '' {order}) FILTER (role = 'assistant'), '') AS loss,
+  sum({fixed} + length({escaped('role')}) + length({escaped('text')})) AS formatted_chars,
+  string_agg(CASE role WHEN 'system' THEN 's' WHEN 'user' THEN 'u' WHEN 'assistant' THEN 'a' ELSE 'x' END, '' {order}) AS letters
+  FROM c GROUP BY conv_id),
+r AS (SELECT *, length(regexp_extract(letters, '^(s?(ua)*u?|s)')) AS good FROM g)
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, CAST(formatted_chars AS BIGINT) AS formatted_chars,
+  regexp_full_match(letters, 's?(ua)+') AS valid, CASE WHEN good < n_turns THEN good END AS broken_at FROM r"""
