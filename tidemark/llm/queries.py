@@ -45,6 +45,15 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .packing import pack_documents
+
+    pieces = pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import quality
 
@@ -56,6 +65,7 @@ def queries() -> dict:
     return {
         "op3_secret_scan": op3_secret_scan,
         "op6_chat_format": op6_chat_format,
+        "op7_packing": op7_packing,
         "op10_quality_rules": op10_quality_rules,
     }
 
