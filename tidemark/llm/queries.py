@@ -54,6 +54,13 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_text import extract
+
+    pages = extract(table(spark, sf_dir, "pages"))
+    return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import quality
 
@@ -66,6 +73,7 @@ def queries() -> dict:
         "op3_secret_scan": op3_secret_scan,
         "op6_chat_format": op6_chat_format,
         "op7_packing": op7_packing,
+        "op9_html_text": op9_html_text,
         "op10_quality_rules": op10_quality_rules,
     }
 
