@@ -8,6 +8,20 @@ from pyspark.sql import functions as F
 from .common import table
 
 
+def fold_of(id_col: str = "doc_id"):
+    """crc32 of the id as text, modulo 5; rows of remainder 0 are held out."""
+    return F.crc32(F.col(id_col).cast("string").cast("binary")) % 5
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import learn, score
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    lexicon = learn(docs, table(spark, sf_dir, "labels").where(fold_of() != 0))
+    df = score(docs, lexicon)
+    return df.select("doc_id", F.coalesce(fold_of() == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secret_scan import BASE_RULES, scan
 
@@ -70,6 +84,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op2_toxicity": op2_toxicity,
         "op3_secret_scan": op3_secret_scan,
         "op6_chat_format": op6_chat_format,
         "op7_packing": op7_packing,
