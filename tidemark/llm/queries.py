@@ -68,6 +68,12 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ann import search
+
+    return search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .html_text import extract
 
@@ -88,6 +94,7 @@ def queries() -> dict:
         "op3_secret_scan": op3_secret_scan,
         "op6_chat_format": op6_chat_format,
         "op7_packing": op7_packing,
+        "op8_nearest": op8_nearest,
         "op9_html_text": op9_html_text,
         "op10_quality_rules": op10_quality_rules,
     }
