@@ -37,6 +37,12 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard_join import jaccard_join
+
+    return jaccard_join(table(spark, sf_dir, "documents"))
+
+
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .chat import format_chats, read_back, unescape
 
@@ -92,6 +98,7 @@ def queries() -> dict:
     return {
         "op2_toxicity": op2_toxicity,
         "op3_secret_scan": op3_secret_scan,
+        "op4_jaccard_join": op4_jaccard_join,
         "op6_chat_format": op6_chat_format,
         "op7_packing": op7_packing,
         "op8_nearest": op8_nearest,
