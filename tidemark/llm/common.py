@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,6 +45,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder and read back: later stages do not run it again, and a lost executor loses none of it."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """``df`` written as a table in the shared checkpoint folder and read back: later stages do not run it again, and a lost executor loses none of it.
+
+    Unlike ``checkpoint()`` this leaves size estimates that come from the files,
+    not from the plan that made them (which multiply with each round of joins).
+    """
+    path = f"{checkpoint_dir(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
