@@ -43,6 +43,18 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents"))
 
 
+#: Production targets: sources and languages are evened out, topics have fixed shares, and 60 % of the tokens are drawn.
+MIX_TARGETS = {"source": 0.5, "lang": 0.7, "topic": {"prose": 0.75, "note": 0.15, "table": 0.07, "noise": 0.03}}
+MIX_SHARE = 0.6
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix
+
+    df = mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang"), MIX_TARGETS, MIX_SHARE)
+    return df.select("doc_id", "mix.source", "mix.lang", "mix.topic", F.col("mix.tokens").alias("n_tokens"), *(F.round(f"mix.{x}", 6).alias(x) for x in ("weight", "probability")), "mix.sampled")
+
+
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .chat import format_chats, read_back, unescape
 
@@ -99,6 +111,7 @@ def queries() -> dict:
         "op2_toxicity": op2_toxicity,
         "op3_secret_scan": op3_secret_scan,
         "op4_jaccard_join": op4_jaccard_join,
+        "op5_mixing": op5_mixing,
         "op6_chat_format": op6_chat_format,
         "op7_packing": op7_packing,
         "op8_nearest": op8_nearest,
@@ -112,5 +125,6 @@ def oracle_sql() -> dict:
 
     return {
         "op3_secret_scan": oracle.secret_scan(),
+        "op5_mixing": oracle.mixing(MIX_TARGETS, MIX_SHARE),
         "op6_chat_format": oracle.chat_format(),
     }
