@@ -8,6 +8,13 @@ from pyspark.sql import functions as F
 from .common import table
 
 
+def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm_score import score, train
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return score(docs, train(docs))
+
+
 def fold_of(id_col: str = "doc_id"):
     """crc32 of the id as text, modulo 5; rows of remainder 0 are held out."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 5
@@ -108,6 +115,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op1_lm_score": op1_lm_score,
         "op2_toxicity": op2_toxicity,
         "op3_secret_scan": op3_secret_scan,
         "op4_jaccard_join": op4_jaccard_join,
