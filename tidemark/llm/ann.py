@@ -42,6 +42,9 @@ BOOKS, WORDS, BEAM = 8, 256, 4
 MAX_TRAIN = 16_384
 #: Vectors in a block of the index, queries in a block, and candidates of a block that are reranked for a query.
 BLOCK, QUERY_BLOCK, RERANK = 2048, 512, 100
+#: Vectors in a partition of the index: of those each query keeps its k best before results are shuffled.
+PART = 1 << 17
+FIELDS = ["codes", "norms", "errors", "vectors", "ids", "counts"]
 #: Deviations of a score's coding error that are allowed for.
 SPREAD = 3.0
 
@@ -148,55 +151,79 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
                 part = batch.iloc[at : at + QUERY_BLOCK]
                 yield pd.DataFrame({"query_ids": [part["id"].to_numpy(np.int64).tobytes()], "queries": [np.array(part["v"].tolist(), dtype=np.float64).tobytes()]})
 
-    index = cut(distinct.mapInPandas(index_blocks, "codes binary, norms binary, errors binary, vectors binary, ids binary, counts binary"))
-    asked = cut(rows.where("q").dropDuplicates(["id"]).select("id", "v").mapInPandas(query_blocks, "query_ids binary, queries binary"))
+    def compact(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[tuple] = []
+        rows = 0
+        join = lambda: pd.DataFrame([tuple(b"".join(x) for x in zip(*held, strict=True))], columns=FIELDS)
+        for batch in batches:
+            for r in batch[FIELDS].itertuples(index=False):
+                held.append(tuple(r))
+                rows += len(r.norms) // 8
+                if rows >= BLOCK:
+                    yield join()
+                    held, rows = [], 0
+        if held:
+            yield join()
+
+    def near_ones(r, q: np.ndarray, qid: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each query of a block: ids and scores of its best in a block of the index."""
+        codes = np.frombuffer(r.codes, dtype=np.uint16).reshape(-1, codebooks.shape[0]).astype(np.int64)
+        v = np.frombuffer(r.vectors).reshape(-1, d)
+        ids = np.frombuffer(r.ids, dtype=np.int64).reshape(-1, k + 1)
+        counts = np.frombuffer(r.counts, dtype=np.int64)
+        slack = np.frombuffer(r.errors) * SPREAD
+        n = len(v)
+        # lookup tables: a query's inner product with each codeword; a vector's score is its norm times a sum of lookups
+        about = np.zeros((len(q), n), dtype=np.float32)
+        for b in range(codebooks.shape[0]):
+            about += (q @ codebooks[b].T).astype(np.float32)[:, codes[:, b]]
+        about *= np.frombuffer(r.norms).astype(np.float32)
+        width = min(max(rerank, k + 1), n)
+        top = np.argpartition(-about, width - 1, axis=1)[:, :width]
+        exact = np.einsum("qrd,qd->qr", v[top], q)
+        # the query itself may be among the best: one more than k
+        place = width - 1 - min(k, width - 1)
+        least = np.partition(exact, place, axis=1)[:, place]
+        lengths = np.linalg.norm(q, axis=1)
+        for i in range(len(q)):
+            near = np.flatnonzero(about[i] + slack * lengths[i] >= least[i] - 1e-4 * abs(least[i]))
+            near = np.union1d(near, top[i])
+            scores = v[near] @ q[i]
+            if len(near) > k + 1:
+                best = scores >= np.partition(scores, len(scores) - 1 - k)[len(scores) - 1 - k]
+                near, scores = near[best], scores[best]
+            # equal vectors stand for several ids, one of them perhaps the query's own
+            own, scores = ids[near], np.repeat(scores[:, None], k + 1, 1)
+            there = (np.arange(k + 1) < counts[near][:, None]) & (own != qid[i])
+            yield best_of(own[there], scores[there])
+
+    def best_of(ids: np.ndarray, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        order = np.lexsort((ids, -scores))[:k]
+        return ids[order], scores[order]
 
     def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The best of each block of queries over all blocks of the index that its task holds."""
+        asking, best = b"", []
+
+        def frame() -> pd.DataFrame:
+            qid = np.frombuffer(asking, dtype=np.int64)
+            return pd.DataFrame({"query_id": np.repeat(qid, [len(x[0]) for x in best]), "vec_id": np.concatenate([x[0] for x in best]), "score": np.concatenate([x[1] for x in best])})
+
         for batch in batches:
             for r in batch.itertuples(index=False):
-                q = np.frombuffer(r.queries).reshape(-1, d)
-                qid = np.frombuffer(r.query_ids, dtype=np.int64)
-                codes = np.frombuffer(r.codes, dtype=np.uint16).reshape(-1, codebooks.shape[0]).astype(np.int64)
-                v = np.frombuffer(r.vectors).reshape(-1, d)
-                ids = np.frombuffer(r.ids, dtype=np.int64).reshape(-1, k + 1)
-                counts = np.frombuffer(r.counts, dtype=np.int64)
-                n = len(v)
-                # lookup tables: a query's inner product with each codeword; a vector's score is its norm times a sum of lookups
-                about = np.zeros((len(q), n), dtype=np.float32)
-                for b in range(codebooks.shape[0]):
-                    about += (q @ codebooks[b].T).astype(np.float32)[:, codes[:, b]]
-                about *= np.frombuffer(r.norms).astype(np.float32)
-                slack = np.frombuffer(r.errors) * SPREAD
-                width = min(max(rerank, k + 1), n)
-                top = np.argpartition(-about, width - 1, axis=1)[:, :width]
-                exact = np.einsum("qrd,qd->qr", v[top], q)
-                # the query itself may be among the best: one more than k
-                least = np.partition(exact, width - 1 - min(k, width - 1), axis=1)[:, width - 1 - min(k, width - 1)]
-                lengths = np.linalg.norm(q, axis=1)
-                for i in range(len(q)):
-                    near = np.flatnonzero(about[i] + slack * lengths[i] >= least[i] - 1e-4 * abs(least[i]))
-                    near = np.union1d(near, top[i])
-                    scores = v[near] @ q[i]
-                    if len(near) > k + 1:
-                        best = scores >= np.partition(scores, len(scores) - 1 - k)[len(scores) - 1 - k]
-                        near, scores = near[best], scores[best]
-                    # equal vectors stand for several ids, one of them perhaps the query's own
-                    own, scores = ids[near], np.repeat(scores[:, None], k + 1, 1)
-                    there = (np.arange(k + 1) < counts[near][:, None]) & (own != qid[i])
-                    own, scores = own[there], scores[there]
-                    best = np.lexsort((own, -scores))[:k]
-                    yield pd.DataFrame({"query_id": np.full(len(best), qid[i]), "vec_id": own[best], "score": scores[best]})
-
-    def together(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
-        for frame in meet(batches):
-            held.append(frame)
-            if len(held) >= QUERY_BLOCK:
-                yield pd.concat(held, ignore_index=True)
-                held = []
-        if held:
-            yield pd.concat(held, ignore_index=True)
-
-    found = asked.crossJoin(index).mapInPandas(together, "query_id bigint, vec_id bigint, score double")
+                if r.query_ids != asking:
+                    if best:
+                        yield frame()
+                    asking, best = r.query_ids, []
+                found = near_ones(r, np.frombuffer(r.queries).reshape(-1, d), np.frombuffer(asking, dtype=np.int64))
+                best = [best_of(np.concatenate([x[0], y[0]]), np.concatenate([x[1], y[1]])) for x, y in zip(best, found, strict=True)] if best else list(found)
+        if best:
+            yield frame()
+
+    schema = ", ".join(f"{x} binary" for x in FIELDS)
+    parts = -(-distinct.count() // PART)
+    index = cut(distinct.mapInPandas(index_blocks, schema).repartition(parts).mapInPandas(compact, schema))
+    asked = cut(rows.where("q").dropDuplicates(["id"]).select("id", "v").mapInPandas(query_blocks, "query_ids binary, queries binary"))
+    found = asked.crossJoin(index).mapInPandas(meet, "query_id bigint, vec_id bigint, score double")
     best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", best).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
