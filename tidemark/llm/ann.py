@@ -44,6 +44,7 @@ MAX_TRAIN = 16_384
 BLOCK, QUERY_BLOCK, RERANK = 2048, 512, 100
 #: Vectors in a partition of the index: of those each query keeps its k best before results are shuffled.
 PART = 1 << 17
+MAX_QUERY_PARTS = 512
 FIELDS = ["codes", "norms", "errors", "vectors", "ids", "counts"]
 #: Deviations of a score's coding error that are allowed for.
 SPREAD = 3.0
@@ -224,6 +225,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
     parts = -(-distinct.count() // PART)
     index = cut(distinct.mapInPandas(index_blocks, schema).repartition(parts).mapInPandas(compact, schema))
     asked = cut(rows.where("q").dropDuplicates(["id"]).select("id", "v").mapInPandas(query_blocks, "query_ids binary, queries binary"))
+    asked = asked.repartition(max(1, min(asked.count(), MAX_QUERY_PARTS)))  # a block of queries a task, as far as that goes
     found = asked.crossJoin(index).mapInPandas(meet, "query_id bigint, vec_id bigint, score double")
     best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", best).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
