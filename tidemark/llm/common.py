@@ -34,6 +34,12 @@ def fresh(df: DataFrame, *stems: str) -> list[str]:
     return out
 
 
+def with_out(df: DataFrame, *out: str) -> list[str]:
+    """The columns of ``df`` and then ``out``, which take the place of columns so named."""
+    new = {x.lower() for x in out}
+    return [*(f"`{c}`" for c in df.columns if c.lower() not in new), *out]
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder of ``spark.checkpoint.dir``; a folder of this machine only where none is set, as in tests."""
     sc = spark.sparkContext

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, cut, text_of
+from .common import SPACE_CLASS, cut, fresh, text_of
 from .graph import components
 
 SHINGLE, THRESHOLD, TOLERANCE = 5, 0.8, 1e-6
@@ -327,7 +327,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
     name = F.struct(F.col("class_id"), F.when(F.col("class_id").isNull(), F.col("__key")))
     least = pairs.groupBy(name.alias("name")).agg(F.min(F.struct(F.col("__id").isNull().alias("last"), F.col("__id").alias("id"), F.col("__key").alias("key"))).alias("m"))
     stays = cut(least.select(F.col("m.id").alias("__id"), F.col("m.key").alias("__key")))
-    columns = docs.columns
-    rows = docs.withColumn("__key", key).join(stays, "__key").where(F.col("__id").eqNullSafe(F.col(id_col).cast("bigint")))
+    key_col, own_key, own_id = fresh(docs, "key", "own_key", "own_id")
+    stays = stays.select(F.col("__id").alias(own_id), F.col("__key").alias(own_key))
+    rows = docs.withColumn(key_col, key)
+    rows = rows.join(stays, F.col(key_col) == F.col(own_key)).where(F.col(own_id).eqNullSafe(F.col(id_col).cast("bigint")))
     # rows that repeat one id and text: one of them stays
-    return rows.groupBy("__id", "__key").agg(*(F.first(c).alias(c) for c in columns)).select(*columns)
+    return rows.groupBy(own_id, own_key).agg(*(F.first(F.col(f"`{c}`")).alias(c) for c in docs.columns)).select(*(f"`{c}`" for c in docs.columns))

@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, cut, fresh, text_of
+from .common import SPACE_CLASS, cut, fresh, text_of, with_out
 
 #: Sweeps over all dimensions.
 SWEEPS = 8
@@ -108,7 +108,7 @@ def mix(docs: DataFrame, targets: dict[str, dict[str, float] | float], share: fl
     ``targets`` maps dimensions (columns of ``docs``, or "topic") to target
     shares by value, or to a power; see ``target_shares``.
     """
-    text, tokens, key, salt = fresh(docs, "text", "tokens", "key", "salt")
+    text, tokens, weight, probability, salt = fresh(docs, "text", "tokens", "weight", "probability", "salt")
     dims = {d: fresh(docs, f"dim_{d}")[0] for d in targets}
     df = docs.withColumn(text, text_of(text_col))
     values = {d: (topic if topic is not None else topic_of(F.col(text))) if d == "topic" else F.coalesce(F.col(d).cast("string"), F.lit("")) for d in dims}
@@ -116,7 +116,7 @@ def mix(docs: DataFrame, targets: dict[str, dict[str, float] | float], share: fl
     cells = cut(df.groupBy(*(F.col(dims[d]).alias(d) for d in dims)).agg(F.sum(tokens).alias("tokens")))
     # in weights to 9 decimals, so that the order in which sums are added does not show
     fitted = cut(calibrate(rake(cells, targets, sweeps).withColumn("weight", F.round("weight", 9)), share))
-    small = fitted.select(*(F.col(d).alias(dims[d]) for d in dims), F.col("weight").alias("__weight"), F.round("probability", 9).alias("__probability"))
+    small = fitted.select(*(F.col(d).alias(dims[d]) for d in dims), F.col("weight").alias(weight), F.round("probability", 9).alias(probability))
     if fitted.count() <= MAX_BROADCAST_CELLS:
         met = df.join(F.broadcast(small), list(dims.values()), "left")
     else:
@@ -125,8 +125,8 @@ def mix(docs: DataFrame, targets: dict[str, dict[str, float] | float], share: fl
     out = F.struct(
         *(F.col(dims[d]).alias(d) for d in dims),
         F.col(tokens).alias("tokens"),
-        F.col("__weight").alias("weight"),
-        F.col("__probability").alias("probability"),
-        (draw_of(F.col(id_col), seed) < F.col("__probability")).alias("sampled"),
+        F.col(weight).alias("weight"),
+        F.col(probability).alias("probability"),
+        (draw_of(F.col(id_col), seed) < F.col(probability)).alias("sampled"),
     )
-    return met.withColumn("mix", out).select(*docs.columns, "mix")
+    return met.withColumn("mix", out).select(*with_out(docs, "mix"))

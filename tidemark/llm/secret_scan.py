@@ -33,7 +33,7 @@ from re import _parser as sre_parse
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, text_of
+from .common import fresh, text_of, with_out
 
 # Bounds on the sets of strings and clauses that a query is derived through. Beyond
 # them a query gets weaker (more candidates), never wrong.
@@ -219,7 +219,7 @@ def scan(docs: DataFrame, rules: Sequence[Rule] = RULES, id_col: str = "doc_id",
         verified = rule_spans(F.col(text), rule, n)
         spans[each[n]] = verified if full else F.when(F.array_contains(F.coalesce(F.col(cand), F.array().cast("array<int>")), F.lit(n)), verified).otherwise(none)
     df = df.withColumns(spans)
-    return df.withColumn(out, F.sort_array(F.concat(*each))).select(*docs.columns, out)
+    return df.withColumn(out, F.sort_array(F.concat(*each))).select(*with_out(docs, out))
 
 
 def redact(docs: DataFrame, rules: Sequence[Rule] = RULES, id_col: str = "doc_id", text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:

@@ -16,8 +16,8 @@ Arrow batches, without a shuffle; the lexicon has at most ``max_terms`` terms.
 Defined cases: null and empty texts score as texts without a match; repeated
 rows are scored each; rows with a null id or label teach nothing; several
 labels for one id count as toxic if one does; with no toxic or no other
-labelled row the lexicon is empty and every score is the share of toxic rows
-(0 without any), below 0.5; empty tables give empty results.
+labelled row the lexicon is empty and every score is 0; texts without a match always
+score below 0.5; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -177,8 +177,9 @@ def fit(x: np.ndarray, y: np.ndarray, slope: float = SLOPE) -> tuple[float, floa
     low = np.concatenate([[x[0] - 1], x])
     high = np.concatenate([x, [x[-1] + 1]])
     gap = high - low
-    wrong = np.where(gap > 1e-9, wrong, np.inf)
-    best = np.flatnonzero(wrong == wrong.min())
+    # a text without a match is never taken as toxic; of equally good places the one that spares most texts
+    wrong = np.where((gap > 1e-9) & (low >= 0), wrong, np.inf)
+    best = np.flatnonzero(wrong == wrong.min())[::-1]
     k = best[gap[best].argmax()]
     return float(-slope * (low[k] + high[k]) / 2), slope
 
