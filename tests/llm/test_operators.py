@@ -465,7 +465,10 @@ def test_toxicity_odd(spark, odd, nothing):
     out = toxicity.score(odd.drop("score"), lexicon)
     assert out.columns == [*odd.drop("score").columns, "score"]
     assert all(0 <= r["score"] < 0.5 for r in out.collect())
-    assert toxicity.learn(nothing, labels.limit(0)).terms == ()
+    bare = toxicity.learn(nothing, labels.limit(0))
+    assert {t for t, _, _ in bare.terms} == {toxicity.fold(w) for w in toxicity.SEEDS}
+    made = spark.createDataFrame([(1, "you are a stupid 1diot " * 3), (2, "take out the trash can " * 3), (3, "")], "doc_id long, text string")
+    assert [r["score"] >= 0.5 for r in toxicity.score(made, bare).orderBy("doc_id").collect()] == [True, False, False]
     assert toxicity.score(nothing.drop("score"), lexicon).count() == 0
 
 

@@ -2,8 +2,8 @@
 
 Texts are folded before matching: compatibility forms, case, look-alike letters
 of other scripts, and digits and signs that stand for letters. 1, l and i fold
-to one letter, as 1 stands for either. The lexicon is learned from labelled
-rows: words, and beginnings of words where no single word stands for them, that
+to one letter, as 1 stands for either. The lexicon is a short list of
+seeds and what is learned from labelled rows: words, and beginnings of words where no single word stands for them, that
 toxic texts have far oftener than others; a term's weight is the log ratio of its rates. A
 match counts at the beginning of a word (and, for whole words, up to its end)
 and not inside an exception phrase. The sum of weights for each 1,000 words is
@@ -61,6 +61,12 @@ SIGNS = {"@": "a", "$": "s", "€": "e", "!": "i", "|": "i"}
 #: Characters that hide inside words without being seen.
 UNSEEN = "­​‌‍⁠﻿"
 
+# Terms that need no labelled row, unless other texts have them as well.
+SEEDS = ("asshole", "bastard", "bitch", "clown", "cunt", "disgusting", "dumbass", "fuck", "idiot", "imbecile", "loser", "moron", "pathetic", "retard", "scum", "shithead", "slut", "stupid", "trash", "whore", "worthless")
+SEED_WEIGHT = 4.0
+#: Strength at which a score is 0.5 where no labels tell: one term of SEED_WEIGHT in 500 words.
+DEFAULT_MIDDLE = math.log1p(1000 * SEED_WEIGHT / 500)
+
 #: Phrases in which a term is meant otherwise.
 EXCEPTIONS = ("trash can", "trash bin", "trash bag", "take out the trash", "clown fish", "class clown", "pathetic fallacy", "pond scum")
 
@@ -197,7 +203,8 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     size = {r["__toxic"]: r["count"] for r in rows.groupBy("__toxic").count().collect()}
     toxic, others = size.get(1, 0), size.get(0, 0)
     if not toxic or not others:
-        return Lexicon(exceptions=exceptions)
+        return Lexicon(tuple((fold(w), True, SEED_WEIGHT) for w in SEEDS), exceptions, -SLOPE * DEFAULT_MIDDLE, SLOPE)
+    seeds = {fold(w) + " " for w in SEEDS}
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -211,11 +218,18 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     names = [f"{a}{k}" for a in ("times", "texts") for k in (0, 1)]
     counts = rows.select("__text", "__toxic").mapInPandas(count, "term string, " + ", ".join(f"{x} long" for x in names)).groupBy("term").agg(*(F.sum(x).alias(x) for x in names))
-    counts = cut(counts.where(f"texts1 >= {max(MIN_TEXTS, math.ceil(MIN_SHARE * toxic))} and texts0 <= {max(1, MAX_OTHERS * others)} or term = ''"))
+    fits = (F.col("texts1") >= max(MIN_TEXTS, math.ceil(MIN_SHARE * toxic))) & (F.col("texts0") <= max(1, MAX_OTHERS * others))
+    counts = cut(counts.where(fits | F.col("term").isin("", *sorted(seeds))))
     words = counts.where("term = ''").first()
     weight = F.log((F.col("times1") + 0.5) / max(1, words["times1"])) - F.log((F.col("times0") + 0.5) / max(1, words["times0"]))
-    strong = counts.where((F.col("term") != "") & (weight >= MIN_WEIGHT)).orderBy(F.desc(weight * F.col("times1")), "term").limit(10 * max_terms)
+    known = {r["term"]: (r["texts0"], r["weight"]) for r in counts.where(F.col("term").isin(*sorted(seeds))).withColumn("weight", weight).collect()}
+    strong = counts.where((F.col("term") != "") & fits & (weight >= MIN_WEIGHT)).orderBy(F.desc(weight * F.col("times1")), "term").limit(10 * max_terms)
     terms = choose_terms({r["term"]: (r["times1"], r["weight"]) for r in strong.withColumn("weight", weight).collect()}, max_terms)
+    told = [t for t, _, _ in terms]
+    for seed in sorted(seeds):  # those that the labels neither taught nor speak against
+        elsewhere, w = known.get(seed, (0, SEED_WEIGHT))
+        if not any(seed.startswith(t) for t in told) and (elsewhere <= MAX_OTHERS * others or w >= MIN_WEIGHT):
+            terms.append((seed.strip(), True, SEED_WEIGHT))
     plain = Lexicon(tuple(terms), exceptions)
     seen = score(rows, plain, text_col="__text", out="__score", raw=True).select("__score", "__toxic").toPandas()  # at most max_train rows
     bias, slope = fit(seen["__score"].to_numpy(float), seen["__toxic"].to_numpy(float))
