@@ -102,7 +102,7 @@ class FileWriter:
     def _flush(self, n: int) -> None:
         table = pa.concat_tables(self._held)
         with guarded("write"):
-            self._parquet.write_table(table.slice(0, n), row_group_size=n)
+            self._parquet.write_table(_whole(table.slice(0, n)), row_group_size=n)
         self._held = [table.slice(n)]
         self._waiting -= min(n, self._waiting)
 
@@ -126,6 +126,14 @@ class FileWriter:
         return {"rows": self._rows, "batches": self._batches, "waiting_rows": self._waiting}
 
 
+def _whole(table: pa.Table) -> pa.Table:
+    """Fixed-size lists made anew: Arrow does not encode slices of those that hold nulls."""
+    for i, c in enumerate(table.columns):
+        if pa.types.is_fixed_size_list(c.type) and c.null_count:
+            table = table.set_column(i, table.schema.field(i), pa.array(c.to_pylist(), c.type))
+    return table
+
+
 def open_writer(store: Store, key: str, schema: Schema, **options) -> FileWriter:
     return FileWriter(store, key, schema, **options)
 
@@ -138,6 +146,8 @@ def write(store: Store, key: str, data, schema: Schema | None = None, **options)
     """
     o = checked_options(options)
     checked_key(key, "write")
+    if schema is not None and not isinstance(schema, Schema):
+        raise invalid("write", "schema must be a Schema")
     with telemetry.operation("write", store.backend):
         if isinstance(data, DataFrame):
             return _write_frame(store, key, data, schema, o)
