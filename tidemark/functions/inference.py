@@ -176,7 +176,7 @@ def to_arrow(columns: Mapping[str, list], schema: Schema) -> pa.Table:
 
 
 def decoded(values: list, kind) -> list:
-    """Python values of a column as rows show them: decimals as text of the unscaled number, dates, times and durations as whole numbers, UTC timestamps as datetimes, others as whole numbers of their unit."""
+    """Python values of a column as rows show them: decimals as text of the unscaled number, dates, times and durations as whole numbers, UTC timestamps as datetimes, others and nanoseconds as whole numbers of their unit."""
     return [_decoded(v, kind) for v in values]
 
 
@@ -191,6 +191,8 @@ def _decoded(v, kind):
     head, *rest = kind
     if head == "decimal":
         return str(int(v.scaleb(rest[2], decimal.Context(prec=100))))
+    if head == "timestamp" and rest[0] == "nanosecond" and hasattr(v, "value"):
+        return v.value  # a datetime would lose what is below a microsecond
     if head == "timestamp" and isinstance(v, dt.datetime) and rest[1] != "UTC":
         return instant(v, rest[0])
     if head == "time" and isinstance(v, dt.time):

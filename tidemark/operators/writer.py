@@ -8,6 +8,7 @@ which is then moved to the key; for more than a task can hold, use a dataset.
 
 from __future__ import annotations
 
+import base64
 import io
 import uuid
 
@@ -70,11 +71,14 @@ class FileWriter:
         self.store, self.schema = store, schema
         self._out = store.open_writer(checked_key(key, "write"))
         o = self.options
+        self._encoded = [_plain_lists(f.type) for f in schema.to_arrow()]
         about = {f"writer.{k}": str(o[k]) for k in ("compression", "max_row_group_rows", "data_page_size_limit")}
+        about["ARROW:schema"] = base64.b64encode(schema.to_arrow().serialize().to_pybytes()).decode()
         try:
             self._parquet = pq.ParquetWriter(
-                pa.PythonFile(_Sink(self._out), mode="w"), schema.to_arrow().with_metadata(about), compression=CODECS[o["compression"]], data_page_size=o["data_page_size_limit"], write_statistics=o["statistics"] == "chunk", version="2.6", store_schema=True
+                pa.PythonFile(_Sink(self._out), mode="w"), pa.schema([pa.field(f.name, k, f.nullable) for f, k in zip(schema.to_arrow(), self._encoded, strict=True)]), compression=CODECS[o["compression"]], data_page_size=o["data_page_size_limit"], write_statistics=o["statistics"] == "chunk", version="2.6", store_schema=False
             )
+            self._parquet.add_key_value_metadata(about)
         except (pa.ArrowInvalid, pa.ArrowNotImplementedError):
             self._out.cancel()
             raise EngineError("unsupported", "write", "a column type cannot be written") from None
@@ -101,9 +105,11 @@ class FileWriter:
 
     def _flush(self, n: int) -> None:
         table = pa.concat_tables(self._held)
+        columns = [pa.array(c.to_pylist(), k) if pa.types.is_fixed_size_list(c.type) else c for c, k in zip(table.columns, self._encoded, strict=True)]
+        table = pa.Table.from_arrays(columns, schema=self._parquet.schema)
         with guarded("write"):
-            self._parquet.write_table(_whole(table.slice(0, n)), row_group_size=n)
-        self._held = [table.slice(n)]
+            self._parquet.write_table(table.slice(0, n), row_group_size=n)
+        self._held = [pa.concat_tables(self._held).slice(n)]
         self._waiting -= min(n, self._waiting)
 
     def close(self) -> Metadata:
@@ -126,12 +132,9 @@ class FileWriter:
         return {"rows": self._rows, "batches": self._batches, "waiting_rows": self._waiting}
 
 
-def _whole(table: pa.Table) -> pa.Table:
-    """Fixed-size lists made anew: Arrow does not encode slices of those that hold nulls."""
-    for i, c in enumerate(table.columns):
-        if pa.types.is_fixed_size_list(c.type) and c.null_count:
-            table = table.set_column(i, table.schema.field(i), pa.array(c.to_pylist(), c.type))
-    return table
+def _plain_lists(kind: pa.DataType) -> pa.DataType:
+    """The type that is encoded: Arrow cannot write fixed-size lists that hold nulls, so these become lists; the footer names the schema that is meant."""
+    return pa.list_(kind.value_field) if pa.types.is_fixed_size_list(kind) else kind
 
 
 def open_writer(store: Store, key: str, schema: Schema, **options) -> FileWriter:
