@@ -411,7 +411,9 @@ def test_exact_links_both_ways():
     assert whole == single and 0 < len(whole) < len(i)
 
 
-def test_components(spark):
+@pytest.mark.parametrize("split", [5_000_000, 0])
+def test_components(spark, monkeypatch, split):
+    monkeypatch.setattr(graph, "SPLIT_EDGES", split)
     rng = random.Random(4)
     pairs = [(i, i + 1) for i in range(60)] + [(100 + rng.randint(0, 80), 100 + rng.randint(0, 80)) for _ in range(60)] + [(500, 500)]
     parent = {}
@@ -509,10 +511,11 @@ def test_mixing(spark, odd, nothing):
     assert mixing.mix(nothing, {"source": 0.5}, 0.5).count() == 0
 
 
-def test_mixing_by_salted_join(spark, docs, monkeypatch):
+def test_mixing_beyond_the_bounds(spark, docs, monkeypatch):
     args = ({"source": 0.5, "topic": {"prose": 0.8}}, 0.5)
     want = rows_of(mixing.mix(docs, *args).select("doc_id", "mix.weight", "mix.sampled"), "doc_id", "weight", "sampled")
     monkeypatch.setattr(mixing, "MAX_BROADCAST_CELLS", 0)
+    monkeypatch.setattr(mixing, "MAX_WINDOW_CELLS", 0)
     assert rows_of(mixing.mix(docs, *args).select("doc_id", "mix.weight", "mix.sampled"), "doc_id", "weight", "sampled") == want
 
 

@@ -56,6 +56,9 @@ def cut(df: DataFrame) -> DataFrame:
     Unlike ``checkpoint()`` this leaves size estimates that come from the files,
     not from the plan that made them (which multiply with each round of joins).
     """
-    path = f"{checkpoint_dir(df.sparkSession)}/{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(jpath)  # with the driver, which alone can still read it
+    return spark.read.schema(df.schema).parquet(path)

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
+#: Edges beyond which a step's least neighbours are written before they are joined: AQE can split a hot node's rows only where both sides of a join are shuffled for it alone.
+SPLIT_EDGES = 5_000_000
+
 
 def components(edges: DataFrame) -> DataFrame:
     """Rows (node, root) for every node of ``edges`` (u, v: bigint): the smallest node that it is connected with.
@@ -21,8 +24,10 @@ def components(edges: DataFrame) -> DataFrame:
     while seen[0]:
         both = now.select(F.col("u").alias("x"), F.col("v").alias("y")).union(now.select(F.col("v").alias("x"), F.col("u").alias("y")))
         least = both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("m"))
+        least = cut(least) if seen[0] > SPLIT_EDGES else least
         large = both.join(least, "x").where("y > x and y <> m").select(F.col("y").alias("u"), F.col("m").alias("v")).distinct()
         down = large.groupBy("u").agg(F.min("v").alias("m"))
+        down = cut(down) if seen[0] > SPLIT_EDGES else down
         small = large.join(down, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(down.select("u", F.col("m").alias("v"))).distinct()
         now = cut(small)
         was, seen = seen, state(now)

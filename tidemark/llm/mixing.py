@@ -23,7 +23,7 @@ an empty result.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import SPACE_CLASS, cut, fresh, text_of, with_out
@@ -32,6 +32,8 @@ from .common import SPACE_CLASS, cut, fresh, text_of, with_out
 SWEEPS = 8
 #: Cells that may be broadcast; beyond them documents and cells meet by a salted join.
 MAX_BROADCAST_CELLS, SALTS = 100_000, 64
+#: Cells up to which sums are taken by windows; beyond them by aggregation and join.
+MAX_WINDOW_CELLS = 100_000
 #: Rounds of the calibration, at most; each fixes the cells whose probability has reached 1.
 ROUNDS = 50
 #: Bits of the hash that a document is drawn by.
@@ -74,15 +76,33 @@ def target_shares(cells: DataFrame, dim: str, target: dict[str, float] | float)
 
 
 def rake(cells: DataFrame, targets: dict[str, dict[str, float] | float], sweeps: int = SWEEPS) -> DataFrame:
-    """``cells`` (the dimensions and tokens) with ``weight``. Sums are aggregated before they are shuffled; each sweep is written to the checkpoint folder."""
+    """``cells`` (the dimensions and tokens) with ``weight``.
+
+    Up to MAX_WINDOW_CELLS cells all sweeps are one chain of window sums, which
+    holds the cells of a value in one task. Beyond that, sums are aggregated
+    before they are shuffled and joined back, and each sweep is written to the
+    checkpoint folder.
+    """
     dims = list(targets)
-    total = cells.agg(F.sum("tokens")).first()[0] or 0
-    shares = {d: cut(target_shares(cells, d, targets[d])) for d in dims}
+    totals = cells.agg(F.sum("tokens").alias("tokens"), F.count("*").alias("cells")).first()
+    total = totals["tokens"] or 0
     now = cells.withColumn("weight", F.lit(1.0))
+    shares = {d: target_shares(cells, d, targets[d]).withColumnRenamed("share", f"__share_{d}") for d in dims}
+    if totals["cells"] <= MAX_WINDOW_CELLS:
+        for d in dims:
+            now = now.join(shares[d], d, "left")
+        now = cut(now)
+        for _ in range(sweeps):
+            for d in dims:
+                mass = F.sum(F.col("weight") * F.col("tokens")).over(Window.partitionBy(d))
+                scale = F.when(F.col(f"__share_{d}").isNotNull() & (mass > 0), F.col(f"__share_{d}") * float(total) / mass).otherwise(F.lit(1.0))
+                now = now.withColumn("weight", F.col("weight") * scale)
+        return now.select(*cells.columns, "weight")
+    shares = {d: cut(s) for d, s in shares.items()}
     for _ in range(sweeps):
         for d in dims:
             sums = now.groupBy(d).agg(F.sum(F.col("weight") * F.col("tokens")).alias("mass")).join(shares[d], d)
-            scale = sums.where("mass > 0").select(d, (F.col("share") * float(total) / F.col("mass")).alias("scale"))
+            scale = sums.where("mass > 0").select(d, (F.col(f"__share_{d}") * float(total) / F.col("mass")).alias("scale"))
             now = now.join(scale, d, "left").withColumn("weight", F.col("weight") * F.coalesce("scale", F.lit(1.0))).drop("scale")
         now = cut(now)
     return now
