@@ -7,6 +7,7 @@ Catalyst. Schemas come from the footer, which knows what Spark's reading loses
 
 from __future__ import annotations
 
+import decimal
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -105,21 +106,20 @@ class Stream:
         if self._closed:
             return
         _active["readers"] += 1
-        # rows as Arrow: Spark pulls one partition after the other, the next one while this one is read
-        target = self._schema.to_arrow()
-        rows, held = None, []
+        held, waiting = [], 0
         try:
             with guarded("read"):
-                rows = self._df.toLocalIterator(prefetchPartitions=self._prefetch > 1)
-                for row in rows:
-                    held.append(row)
-                    if len(held) == self._size:
-                        yield self._made(held, target)
-                        held = []
+                for table in arrow_tables(self._df, self._schema, self._prefetch > 1):
+                    held.append(table)
+                    waiting += table.num_rows
+                    while waiting >= self._size:
+                        whole = pa.concat_tables(held)
+                        held, waiting = [whole.slice(self._size)], waiting - self._size
+                        yield self._made(whole.slice(0, self._size))
                         if self._closed:
                             return
-                if held:
-                    yield self._made(held, target)
+                if waiting:
+                    yield self._made(pa.concat_tables(held))
             self._done = True
         finally:
             _active["readers"] -= 1
@@ -127,14 +127,11 @@ class Stream:
             if not self._done:
                 self.close()
 
-    def _made(self, rows: list, target: pa.Schema) -> Batch:
-        arrays = []
-        for i, f in enumerate(target):
-            arrays.append(_array([r[i] for r in rows], f.type))
+    def _made(self, table: pa.Table) -> Batch:
         self._batches += 1
-        self._rows += len(rows)
-        telemetry.emit(("read", "batch"), {"batches": 1, "rows": len(rows)}, {"direction": "read"})
-        return Batch(self._schema, pa.Table.from_arrays(arrays, schema=pa.schema([pa.field(f.name, f.type) for f in target])))
+        self._rows += table.num_rows
+        telemetry.emit(("read", "batch"), {"batches": 1, "rows": table.num_rows}, {"direction": "read"})
+        return Batch(self._schema, table)
 
     def close(self) -> None:
         if not self._closed and self._taken and not self._done:
@@ -147,32 +144,40 @@ class Stream:
         return out | file_stats(*self._source) if self._source else out
 
 
-def _plain(v):
-    """Spark's row values as Arrow takes them."""
-    if hasattr(v, "asDict"):
-        return {k: _plain(x) for k, x in v.asDict().items()}
-    if isinstance(v, dict):
-        return [{"key": _plain(a), "value": _plain(b)} for a, b in v.items()]
-    if isinstance(v, list):
-        return [_plain(x) for x in v]
-    return bytes(v) if isinstance(v, bytearray) else v
+def arrow_tables(df: DataFrame, own: Schema, prefetch: bool = False) -> Iterator[pa.Table]:
+    """A DataFrame's rows as Arrow tables of the schema's types, one partition after the other, the next one while this one is read.
 
+    Tasks send Arrow batches as they are, so no value becomes a Python object on the way.
+    """
 
-def _array(values: list, kind: pa.DataType) -> pa.Array:
-    import datetime as dt
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, b.schema) as w:
+                w.write_batch(b)
+            yield pa.RecordBatch.from_pydict({"batch": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
+
+    target = own.to_arrow()
+    plain = pa.schema([pa.field(f.name, f.type) for f in target])
+    for row in df.mapInArrow(packed, "batch binary").toLocalIterator(prefetchPartitions=prefetch):
+        table = pa.ipc.open_stream(row["batch"]).read_all()
+        yield pa.Table.from_arrays([_converted(c, f.type) for c, f in zip(table.columns, plain, strict=True)], schema=plain)
 
-    values = [_plain(v) for v in values]
-    p = pa.types
-    if p.is_timestamp(kind) and kind.tz:  # Spark gives local datetimes without a zone
-        values = [None if v is None else v if isinstance(v, int) else v.astimezone(dt.timezone.utc) for v in values]
-    if p.is_decimal256(kind) and any(isinstance(v, bytes) for v in values):
-        import decimal
 
+def _converted(column: pa.ChunkedArray, kind: pa.DataType) -> pa.ChunkedArray:
+    """A column as Spark holds it in the type that its field has."""
+    if column.type == kind:
+        return column
+    p = pa.types
+    if p.is_decimal256(kind) and p.is_binary(column.type):  # big-endian unscaled numbers
         context = decimal.Context(prec=100)
-        values = [None if v is None else decimal.Decimal(int.from_bytes(v, "big", signed=True)).scaleb(-kind.scale, context) for v in values]
-    if p.is_integer(kind):
-        values = [None if v is None else int(v) for v in values]
-    return pa.array(values, kind)
+        values = [None if v is None else decimal.Decimal(int.from_bytes(v, "big", signed=True)).scaleb(-kind.scale, context) for v in column.to_pylist()]
+        return pa.chunked_array([pa.array(values, kind)])
+    try:
+        return column.cast(kind)
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError):
+        values = column.to_pylist()
+        return pa.chunked_array([pa.array([None if v is None else int(v) for v in values] if p.is_integer(kind) else values, kind)])
 
 
 def stream(store: Store, key: str, **options) -> Stream:
