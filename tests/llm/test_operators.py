@@ -584,3 +584,12 @@ def test_queries_and_crc(spark):
     r = spark.createDataFrame([(5,), (17,)], "doc_id long").select("doc_id", queries.fold_of().alias("f")).collect()
     assert all(x["f"] == zlib.crc32(str(x["doc_id"]).encode()) % 5 for x in r)
     assert pd.notna(r[0]["f"])
+
+
+@pytest.mark.parametrize("name", ["op3_secret_scan", "op5_mixing", "op6_chat_format", "op10_quality_rules"])
+def test_native_plans(spark, name):
+    """No Python, pandas, Arrow or RDD step in the plans of operators that are to be native."""
+    from tidemark.llm import queries
+
+    plan = queries.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"Python|Pandas|Arrow|ExistingRDD(?!\[rule)|Cartesian", plan)
