@@ -28,7 +28,9 @@ from . import telemetry
 from .batch import Batch
 from .writer import spark_options
 
-# Options of a dataset writer and their defaults.
+# Options of a dataset writer and their defaults. Spark sorts a task's rows by
+# partition and so has one file open at a time, which is within any max_open_partitions; batches
+# of rows are Spark's, so batch_rows is checked and has no further effect.
 WRITE_DEFAULTS = {"max_open_partitions": 4, "max_rows_per_file": 100_000, "max_bytes_per_file": 64 * 1024 * 1024, "batch_rows": 1024}
 CODECS = ("zstd", "snappy", "uncompressed")
 #: Folders that a read names to Spark one by one, at most; a longer plan names the folders above them.
