@@ -97,7 +97,7 @@ def rake(cells: DataFrame, targets: dict[str, dict[str, float] | float], sweeps:
                 mass = F.sum(F.col("weight") * F.col("tokens")).over(Window.partitionBy(d))
                 scale = F.when(F.col(f"__share_{d}").isNotNull() & (mass > 0), F.col(f"__share_{d}") * float(total) / mass).otherwise(F.lit(1.0))
                 now = now.withColumn("weight", F.col("weight") * scale)
-        return now.select(*cells.columns, "weight")
+        return cut(now.select(*cells.columns, "weight"))
     shares = {d: cut(s) for d, s in shares.items()}
     for _ in range(sweeps):
         for d in dims:
