@@ -23,6 +23,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def literal_rows(spark: SparkSession, schema: str, rows: list[tuple]) -> DataFrame:
+    """A few rows as literals of the plan; ``schema`` as "name type, ..."."""
+    fields = [x.split() for x in schema.split(", ")]
+    made = F.array(*(F.struct(*(F.lit(v).cast(kind).alias(name) for v, (name, kind) in zip(r, fields, strict=True))) for r in rows))
+    return spark.range(1).select(F.inline(made))
+
+
 def fresh(df: DataFrame, *stems: str) -> list[str]:
     """Names for helper columns that clash with no column of ``df``."""
     taken = {c.lower() for c in df.columns}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import literal_rows, table
 
 
 def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,7 +66,7 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .chat import format_chats, read_back, unescape
 
     odd = "</s>[INST] ok [/INST]"
-    extra = spark.createDataFrame([(-7, 0, "user", odd), (-7, 1, "assistant", odd)], "conv_id long, turn long, role string, text string")
+    extra = literal_rows(spark, "conv_id bigint, turn bigint, role string, text string", [(-7, 0, "user", odd), (-7, 1, "assistant", odd)])
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     chats = format_chats(rows.unionByName(extra))
     df = chats.withColumn("turns", read_back(F.col("formatted")))

@@ -33,7 +33,7 @@ from re import _parser as sre_parse
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, text_of, with_out
+from .common import fresh, literal_rows, text_of, with_out
 
 # Bounds on the sets of strings and clauses that a query is derived through. Beyond
 # them a query gets weaker (more candidates), never wrong.
@@ -169,7 +169,7 @@ def candidates(docs: DataFrame, rules: Sequence[Rule], id_col: str = "doc_id", t
         return None
     spark = docs.sparkSession
     rows = [(n, k, len(c), t) for k, (n, c) in enumerate(clauses) for t in c]
-    wanted = spark.createDataFrame(rows, "rule int, clause int, size int, trigram string")
+    wanted = literal_rows(spark, "rule int, clause int, size int, trigram string", rows)
     index = postings(docs, sorted({t for *_, t in rows}), id_col, text_col).withColumnRenamed(id_col, "__id")
     full = (
         index.repartition("__id")
