@@ -47,6 +47,8 @@ MIN_WEIGHT, MAX_OTHERS = 3.0, 0.02
 STEMS = range(4, 9)
 #: Times that a term counts in one text when the lexicon is learned, at most.
 MAX_TIMES = 3
+#: Texts whose terms a task counts together.
+COUNT_TEXTS = 500
 #: Steepness of the logistic score.
 SLOPE = 2.0
 
@@ -208,13 +210,15 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            times, texts = {0: Counter(), 1: Counter()}, {0: Counter(), 1: Counter()}
-            for text, mark in zip(batch["__text"], batch["__toxic"], strict=True):
-                found = candidate_terms(text)
-                times[mark == 1].update(found)
-                texts[mark == 1].update(found.keys())
-            terms = list(times[0].keys() | times[1].keys())
-            yield pd.DataFrame({"term": terms} | {f"{a}{k}": [c[k][t] for t in terms] for a, c in (("times", times), ("texts", texts)) for k in (0, 1)})
+            for at in range(0, len(batch), COUNT_TEXTS):  # what is held at once is the terms of so many texts
+                part = batch.iloc[at : at + COUNT_TEXTS]
+                times, texts = {0: Counter(), 1: Counter()}, {0: Counter(), 1: Counter()}
+                for text, mark in zip(part["__text"], part["__toxic"], strict=True):
+                    found = candidate_terms(text)
+                    times[mark == 1].update(found)
+                    texts[mark == 1].update(found.keys())
+                terms = list(times[0].keys() | times[1].keys())
+                yield pd.DataFrame({"term": terms} | {f"{a}{k}": np.fromiter((c[k][t] for t in terms), np.int64, len(terms)) for a, c in (("times", times), ("texts", texts)) for k in (0, 1)})
 
     names = [f"{a}{k}" for a in ("times", "texts") for k in (0, 1)]
     counts = rows.select("__text", "__toxic").mapInPandas(count, "term string, " + ", ".join(f"{x} long" for x in names)).groupBy("term").agg(*(F.sum(x).alias(x) for x in names))
