@@ -25,14 +25,27 @@ from tidemark.llm.toxicity import learn, score
 MIX_SHARE = 0.8
 
 
+#: Rows that a Python worker is handed at once, at most: bounds its memory where texts are long.
+ARROW_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's number of rows in an Arrow batch to ARROW_ROWS."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= ARROW_ROWS:
+        spark.conf.set(name, str(ARROW_ROWS))
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored below 0.5 by a lexicon learned from ``labels`` (the rows that op2 learns from too)."""
+    small_batches(spark)
     lexicon = learn(docs, table(spark, sf_dir, "labels").where(fold_of() != 0))
     return score(docs, lexicon, out="__toxicity").where("__toxicity < 0.5").select(*docs.columns)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of similar documents the one of the smallest id."""
+    small_batches(spark)
     return keep_one(docs)
 
 
@@ -53,6 +66,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of token sequences: doc_id, start, length, ids, doc_tokens, sequence_id, offset."""
     import public_tokenizers
 
+    small_batches(spark)
     return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
