@@ -564,6 +564,37 @@ def test_lm_scores(spark, docs, odd, nothing):
     assert lm_score.score(nothing, empty).count() == 0 and len(empty[0]) == 0
 
 
+def test_lm_tells_all_words_apart(spark, monkeypatch):
+    # a vocabulary beyond WORDS, words of one symbol by their counts, and probabilities of all words that sum to 1
+    monkeypatch.setattr(lm_score, "FREQUENT", 12)
+    times = [12] * 900 + [1 + i % 9 for i in range(2000)]
+    words = [f"w{i}" for i, n in enumerate(times) for _ in range(n)]
+    random.Random(4).shuffle(words)
+    docs = spark.createDataFrame([(i, " ".join(words[i * 50 : i * 50 + 50])) for i in range(len(words) // 50 + 1)], "doc_id long, text string")
+    counts = lm_score.count_words(docs)
+    model = lm_score.train(docs, counts=counts)
+    assert len(model[0]) == 900 and len(set(model[1])) == 900 and lm_score.PAD not in model[1]
+    net = lm_score.Network(model[2])
+    assert net.side**2 >= 900 + lm_score.OTHERS
+    shares = lm_score.learn_shares(counts, model[0])
+    one = spark.createDataFrame([(i, f"w{i}") for i in range(len(times))], "doc_id long, text string")
+    got = {r["doc_id"]: r["logprob"] for r in lm_score.score(one, model, shares=shares).collect()}
+    by = collections.defaultdict(list)
+    for r in one.select("doc_id", lm_score.words_of(F.col("text"))[0].alias("h")).collect():
+        if r["doc_id"] >= 900:
+            by[r["h"] % lm_score.OTHERS].append(r["doc_id"])
+    for own in by.values():
+        mass = 1 + sum(times[i] for i in own)
+        rare = [times[i] for i in own if times[i] < lm_score.LISTED]
+        count = lambda i: times[i] if times[i] >= lm_score.LISTED else (1 + sum(rare)) / (1 + len(rare))  # noqa: B023, E731
+        for i in own[1:]:
+            assert got[i] - got[own[0]] == pytest.approx(math.log(count(i) / count(own[0])), abs=1e-4)
+        assert sum(count(i) for i in own) + (1 + sum(rare)) / (1 + len(rare)) == pytest.approx(mass)
+    assert 0.9 < sum(math.exp(x) for x in got.values()) < 1
+    unseen = lm_score.score(spark.createDataFrame([(1, "never")], "doc_id long, text string"), model, shares=shares).first()
+    assert -20 < unseen["logprob"] < max(got.values())
+
+
 def test_lm_targets_cover_every_text():
     lengths = np.array([3, 0, 5, 1])
     flat, place = lm_score.with_padding(np.arange(9), lengths)

@@ -6,17 +6,23 @@ two-level softmax gives first the token's group, then the token within it. A
 document's score is the sum of the log probabilities of all its tokens, each
 with the token itself masked.
 
-Tokens are lower-case words parted by white space. The vocabulary is the
-``WORDS`` most frequent words of all documents; any other word is one of
-``OTHERS`` symbols by its hash, and enters the likelihood as that symbol.
+Tokens are lower-case words parted by white space. The network's vocabulary
+grows with the corpus: the ``WORDS`` most frequent words and every word that
+occurs ``FREQUENT`` times. Any other word is for the network one of ``OTHERS``
+symbols by its hash; in the likelihood that symbol's probability is multiplied
+by the word's share of the symbol's tokens (``learn_shares``): its own count for
+every word that occurs ``LISTED`` times, the mean count of the rarer ones for
+these. One unseen word of count 1 is counted with each symbol, so that words
+beyond the corpus have a probability too.
 
 Training is data-parallel, in numpy. In each of ``ROUNDS`` rounds every task
 starts from the same parameters and takes Adagrad steps over its documents,
 with one in ``STRIDE`` positions of each document as targets (others in the
 next round, all of them as context); the results are averaged by the number of
 targets, in two levels, so that no task sums more than a share of them. What is
-gathered grows with the number of tasks and of distinct words; what a task
-sends is bounded by the size of the network.
+gathered grows with the number of tasks and of distinct words; a task sends the
+network, and tasks are joined as it grows, so that together they send no more
+than in proportion to the corpus.
 
 Defined cases: null and empty texts have no tokens, log probability 0 and mean
 0; repeated rows are scored each (and train each); a null id stays null; very
@@ -26,6 +32,8 @@ empty result.
 
 from __future__ import annotations
 
+import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,9 +42,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, text_of
+from .common import SPACE_CLASS, cut, text_of
 
 WORDS, OTHERS = 768, 256
+#: Occurrences from which a word is in the network's vocabulary whatever its rank, and from which its count is held.
+FREQUENT, LISTED = 5000, 5
 #: Tokens on either side, dimensions, groups of the softmax.
 WINDOW, DIMENSIONS, GROUPS = 2, 32, 32
 ROUNDS, STRIDE, BATCH, RATE = 2, 16, 1024, 0.1
@@ -44,31 +54,51 @@ ROUNDS, STRIDE, BATCH, RATE = 2, 16, 1024, 0.1
 CHUNK, BLOCK = 8192, 1 << 14
 #: First-level groups of the averaging.
 SALTS = 256
+#: Tokens for each parameter that a training task has at least, so that what tasks send stays in proportion to the corpus.
+TOKENS_A_PARAMETER = 2
 
 SIZE = WORDS + OTHERS
-PER_GROUP = SIZE // GROUPS
+#: Symbols beyond the first SIZE come after PAD.
 PAD = SIZE
 OFFSETS = tuple(k for k in range(-WINDOW, WINDOW + 1) if k)
-SHAPES = {"tables": (len(OFFSETS), SIZE + 1, DIMENSIONS), "bias": (DIMENSIONS,), "group_w": (DIMENSIONS, GROUPS), "group_b": (GROUPS,), "word_w": (GROUPS, DIMENSIONS, PER_GROUP), "word_b": (GROUPS, PER_GROUP)}
+
+
+def shapes(side: int) -> dict[str, tuple[int, ...]]:
+    """Of the parameters of a network of ``side`` groups of ``side`` symbols."""
+    return {"tables": (len(OFFSETS), side * side + 1, DIMENSIONS), "bias": (DIMENSIONS,), "group_w": (DIMENSIONS, side), "group_b": (side,), "word_w": (side, DIMENSIONS, side), "word_b": (side, side)}
+
+
+def parameters(side: int) -> int:
+    return sum(int(np.prod(x)) for x in shapes(side).values())
+
+
+def side_of(n_words: int) -> int:
+    """Groups of the network for so many words."""
+    return max(GROUPS, math.isqrt(max(0, n_words + OTHERS - 1)) + 1)
 
 
 class Network:
     """The parameters, in one flat array with named views."""
 
-    def __init__(self, flat: np.ndarray | None = None):
-        total = sum(int(np.prod(s)) for s in SHAPES.values())
+    def __init__(self, flat: np.ndarray | None = None, side: int = GROUPS):
         if flat is None:
-            flat = np.zeros(total, dtype=np.float32)
+            flat = np.zeros(parameters(side), dtype=np.float32)
             rng = np.random.default_rng(11)
-            n = int(np.prod(SHAPES["tables"]))
+            n = int(np.prod(shapes(side)["tables"]))
             flat[:n] = rng.normal(0, 0.1, n)
+        self.side = next(s for s in itertools.count(1) if parameters(s) >= len(flat))
         self.flat = flat.astype(np.float32, copy=True)
         at = 0
-        for name, shape in SHAPES.items():
+        for name, shape in shapes(self.side).items():
             n = int(np.prod(shape))
             setattr(self, name, self.flat[at : at + n].reshape(shape))
             at += n
 
+    def places(self, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Groups of symbols, and their places within them."""
+        index = target - (target > PAD)
+        return index % self.side, index // self.side
+
     def hidden(self, context: np.ndarray) -> np.ndarray:
         """tanh of the summed embeddings; ``context`` has a row of symbols for each place of OFFSETS."""
         h = self.tables[0][context[0]]
@@ -78,11 +108,11 @@ class Network:
 
     def log_probabilities(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
         h = self.hidden(context)
-        group, word = target % GROUPS, target // GROUPS
+        group, word = self.places(target)
         out = _log_softmax(h @ self.group_w + self.group_b)[np.arange(len(target)), group]
         order = np.argsort(group, kind="stable")
-        ends = np.searchsorted(group[order], np.arange(GROUPS + 1))
-        for g in range(GROUPS):
+        ends = np.searchsorted(group[order], np.arange(self.side + 1))
+        for g in range(self.side):
             own = order[ends[g] : ends[g + 1]]
             if len(own):
                 out[own] += _log_softmax(h[own] @ self.word_w[g] + self.word_b[g])[np.arange(len(own)), word[own]]
@@ -92,14 +122,14 @@ class Network:
         """One Adagrad step on the mean log loss; ``squares`` holds the summed squares of gradients."""
         n = len(target)
         h = self.hidden(context)
-        group, word = target % GROUPS, target // GROUPS
+        group, word = self.places(target)
         error = np.exp(_log_softmax(h @ self.group_w + self.group_b))
         error[np.arange(n), group] -= 1
         back = error @ self.group_w.T
         steps = [("group_w", ..., h.T @ error), ("group_b", ..., error.sum(0))]
         order = np.argsort(group, kind="stable")
-        ends = np.searchsorted(group[order], np.arange(GROUPS + 1))
-        for g in range(GROUPS):
+        ends = np.searchsorted(group[order], np.arange(self.side + 1))
+        for g in range(self.side):
             own = order[ends[g] : ends[g + 1]]
             if len(own):
                 x = h[own]
@@ -126,9 +156,18 @@ def _log_softmax(x: np.ndarray) -> np.ndarray:
     return x - np.log(np.exp(x).sum(1, keepdims=True))
 
 
+def others_of(hashes: np.ndarray) -> np.ndarray:
+    """The symbols, from 0, of words beyond the vocabulary."""
+    return (hashes.view(np.uint64) % np.uint64(OTHERS)).astype(np.int64)
+
+
+def _other_column():
+    return F.pmod(F.col("word"), F.lit(OTHERS)).cast("int")  # as ``others_of``: OTHERS is a power of two
+
+
 def symbols(hashes: np.ndarray, vocabulary: np.ndarray, places: np.ndarray) -> np.ndarray:
     """Symbols of word hashes: the vocabulary's (sorted, with each word's symbol in ``places``), or one of the others."""
-    out = (WORDS + hashes.view(np.uint64) % np.uint64(OTHERS)).astype(np.int32)
+    out = (WORDS + others_of(hashes)).astype(np.int32)
     if len(vocabulary):
         at = np.minimum(np.searchsorted(vocabulary, hashes), len(vocabulary) - 1)
         known = vocabulary[at] == hashes
@@ -152,32 +191,74 @@ def words_of(text):
     return F.transform(F.filter(F.split(F.lower(text), SPACE_CLASS), lambda w: w != F.lit("")), lambda w: F.xxhash64(w))
 
 
-def learn_vocabulary(docs: DataFrame, text_col: str = "text") -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the WORDS most frequent words of all documents, sorted, and their symbols (by rank)."""
-    counts = docs.select(F.explode_outer(words_of(text_of(text_col))).alias("word")).where("word is not null").groupBy("word").count()
-    top = [r["word"] for r in counts.orderBy(F.desc("count"), "word").limit(WORDS).collect()]
-    hashes = np.array(top, dtype=np.int64)
+def count_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """Rows (word, count): the hash of each word of all documents, and its occurrences."""
+    return cut(docs.select(F.explode_outer(words_of(text_of(text_col))).alias("word")).where("word is not null").groupBy("word").count())
+
+
+def learn_vocabulary(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the network's words, sorted, and their symbols (by rank)."""
+    by_rank = [F.desc("count"), "word"]
+    top = counts.orderBy(*by_rank).limit(WORDS).union(counts.where(F.col("count") >= FREQUENT)).distinct().orderBy(*by_rank)
+    hashes = top.select("word").toArrow()["word"].to_numpy()
     order = np.argsort(hashes)
-    return hashes[order], order.astype(np.int32)
+    return hashes[order], np.where(order < WORDS, order, order + OTHERS + 1).astype(np.int32)
+
+
+def learn_shares(counts: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the words beyond the vocabulary: hashes of the listed ones, sorted, the logs of their shares of their symbol, and the log share of any other word by symbol."""
+    other = _other_column()
+    known = counts.sparkSession.createDataFrame(pa.table({"word": pa.array(vocabulary, pa.int64())}))
+    rest = counts.join(F.broadcast(known), "word", "left_anti")
+    rare = F.col("count") < LISTED
+    sums = rest.groupBy(other.alias("other")).agg(F.sum("count").alias("n"), F.sum(F.when(rare, F.col("count")).otherwise(0)).alias("rare_n"), F.sum(rare.cast("long")).alias("rare_words")).collect()
+    mass, rare_n, rare_words = np.ones(OTHERS), np.ones(OTHERS), np.ones(OTHERS)  # the unseen word
+    for r in sums:
+        mass[r["other"]] += r["n"]
+        rare_n[r["other"]] += r["rare_n"]
+        rare_words[r["other"]] += r["rare_words"]
+    held = rest.where(~rare).select("word", F.col("count").cast("int").alias("count")).toArrow()
+    words, n = held["word"].to_numpy(), held["count"].to_numpy()
+    order = np.argsort(words)
+    words, n = words[order], n[order]
+    return words, (np.log(n) - np.log(mass[others_of(words)])).astype(np.float32), np.log(rare_n / rare_words / mass)
+
+
+def log_shares(hashes: np.ndarray, tokens: np.ndarray, shares: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+    """Of each token the log of its word's share of its symbol."""
+    words, logs, rest = shares
+    out = np.zeros(len(tokens))
+    at = np.flatnonzero((tokens >= WORDS) & (tokens < SIZE))
+    own = hashes[at]
+    out[at] = rest[tokens[at] - WORDS]
+    if len(words):
+        place = np.minimum(np.searchsorted(words, own), len(words) - 1)
+        held = words[place] == own
+        out[at[held]] = logs[place[held]]
+    return out
 
 
-def _texts(batch: pa.RecordBatch, vocabulary: np.ndarray, places: np.ndarray, most: int = 1 << 17) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, end row, symbols, lengths) of some rows at a time."""
+def _texts(batch: pa.RecordBatch, vocabulary: np.ndarray, places: np.ndarray, most: int = 1 << 17) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first row, end row, hashes, symbols, lengths) of some rows at a time."""
     words = batch.column("words")
     offsets = words.offsets.to_numpy().astype(np.int64)
     values = words.values.to_numpy(zero_copy_only=False)
     at = 0
     while at < len(offsets) - 1:
         end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, side="right")) - 1)
-        yield at, end, symbols(values[offsets[at] : offsets[end]], vocabulary, places), np.diff(offsets[at : end + 1])
+        hashes = values[offsets[at] : offsets[end]]
+        yield at, end, hashes, symbols(hashes, vocabulary, places), np.diff(offsets[at : end + 1])
         at = end
 
 
-def train(docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS, stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Vocabulary, its symbols, and the flat parameters."""
-    vocabulary, places = learn_vocabulary(docs, text_col)
-    flat = Network().flat
+def train(docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS, stride: int = STRIDE, counts: DataFrame | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Vocabulary, its symbols, and the flat parameters; ``counts`` are those of ``count_words``."""
+    counts = count_words(docs, text_col) if counts is None else counts
+    vocabulary, places = learn_vocabulary(counts)
+    flat = Network(side=side_of(len(vocabulary))).flat
+    n_tokens = counts.agg(F.sum("count")).first()[0] or 0
     rows = docs.select(words_of(text_of(text_col)).alias("words"))
+    rows = rows.coalesce(max(docs.sparkSession.sparkContext.defaultParallelism, n_tokens // (TOKENS_A_PARAMETER * len(flat))))
 
     def one_round(start: np.ndarray, number: int) -> np.ndarray:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,7 +268,7 @@ def train(docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS, stride:
             held: list[tuple[np.ndarray, np.ndarray]] = []
             waiting = seen = 0
             for batch in batches:
-                for _, _, tokens, lengths in _texts(batch, vocabulary, places):
+                for _, _, _, tokens, lengths in _texts(batch, vocabulary, places):
                     flat_tokens, place = with_padding(tokens, lengths)
                     # every text gives targets, whatever its length: the first one differs from text to text
                     inside = np.arange(len(tokens)) - np.repeat(np.cumsum(lengths) - lengths, lengths) + np.repeat(np.arange(len(lengths)), lengths)
@@ -225,8 +306,8 @@ def train(docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS, stride:
     return vocabulary, places, flat
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (id_col, n_tokens, logprob, mean_logprob), one for each row of ``docs``."""
+def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, np.ndarray], id_col: str = "doc_id", text_col: str = "text", shares: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None) -> DataFrame:
+    """Rows (id_col, n_tokens, logprob, mean_logprob), one for each row of ``docs``: of the words with ``shares``, of their symbols without."""
     vocabulary, places, flat = model
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,12 +315,14 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, np.ndarray], id_
         for batch in batches:
             n = np.zeros(batch.num_rows, dtype=np.int64)
             total = np.zeros(batch.num_rows)
-            for first, end, tokens, lengths in _texts(batch, vocabulary, places):
+            for first, end, hashes, tokens, lengths in _texts(batch, vocabulary, places):
                 flat_tokens, place = with_padding(tokens, lengths)
                 logs = np.zeros(len(tokens))
                 for i in range(0, len(place), CHUNK):
                     p = place[i : i + CHUNK]
                     logs[i : i + CHUNK] = net.log_probabilities(contexts(flat_tokens, p), flat_tokens[p])
+                if shares is not None:
+                    logs += log_shares(hashes, tokens, shares)
                 some = lengths > 0
                 n[first:end] = lengths
                 if some.any():

@@ -9,10 +9,12 @@ from .common import literal_rows, table
 
 
 def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .lm_score import score, train
+    from .lm_score import count_words, learn_shares, score, train
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return score(docs, train(docs))
+    counts = count_words(docs)
+    model = train(docs, counts=counts)
+    return score(docs, model, shares=learn_shares(counts, model[0]))
 
 
 def fold_of(id_col: str = "doc_id"):
