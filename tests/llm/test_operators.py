@@ -603,6 +603,12 @@ def test_lm_targets_cover_every_text():
     assert flat[place[2] + 1] == lm_score.PAD and flat[place[3] - 1] == lm_score.PAD
 
 
+def test_lm_every_position_is_a_target():
+    lengths = np.array([3, 0, 5, 1, 17, 2, 1])
+    times = sum(lm_score.targets(lengths, n).astype(int) for n in range(lm_score.ROUNDS))
+    assert list(times) == [1] * lengths.sum()
+
+
 # --- registered queries
 
 

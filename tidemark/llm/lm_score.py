@@ -17,8 +17,8 @@ beyond the corpus have a probability too.
 
 Training is data-parallel, in numpy. In each of ``ROUNDS`` rounds every task
 starts from the same parameters and takes Adagrad steps over its documents,
-with one in ``STRIDE`` positions of each document as targets (others in the
-next round, all of them as context); the results are averaged by the number of
+with one in ``STRIDE`` positions of each document as targets (the others in the
+next round, so that each position is a target once, and context throughout); the results are averaged by the number of
 targets, in two levels, so that no task sums more than a share of them. What is
 gathered grows with the number of tasks and of distinct words; a task sends the
 network, and tasks are joined as it grows, so that together they send no more
@@ -49,7 +49,7 @@ WORDS, OTHERS = 768, 256
 FREQUENT, LISTED = 5000, 5
 #: Tokens on either side, dimensions, groups of the softmax.
 WINDOW, DIMENSIONS, GROUPS = 2, 32, 32
-ROUNDS, STRIDE, BATCH, RATE = 2, 16, 1024, 0.1
+ROUNDS, STRIDE, BATCH, RATE = 2, 2, 4096, 0.1
 #: Positions that are scored at once, and parameters in a row that a task sends.
 CHUNK, BLOCK = 8192, 1 << 14
 #: First-level groups of the averaging.
@@ -187,6 +187,12 @@ def contexts(flat: np.ndarray, place: np.ndarray) -> np.ndarray:
     return np.stack([flat[place + k] for k in OFFSETS])
 
 
+def targets(lengths: np.ndarray, number: int, rounds: int = ROUNDS, stride: int = STRIDE) -> np.ndarray:
+    """Whether each token is a target of a round; the first one differs from text to text."""
+    inside = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths) + np.repeat(np.arange(len(lengths)), lengths)
+    return (inside + number * (stride // rounds)) % stride == 0
+
+
 def words_of(text):
     return F.transform(F.filter(F.split(F.lower(text), SPACE_CLASS), lambda w: w != F.lit("")), lambda w: F.xxhash64(w))
 
@@ -270,9 +276,7 @@ def train(docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS, stride:
             for batch in batches:
                 for _, _, _, tokens, lengths in _texts(batch, vocabulary, places):
                     flat_tokens, place = with_padding(tokens, lengths)
-                    # every text gives targets, whatever its length: the first one differs from text to text
-                    inside = np.arange(len(tokens)) - np.repeat(np.cumsum(lengths) - lengths, lengths) + np.repeat(np.arange(len(lengths)), lengths)
-                    chosen = place[(inside + number * (stride // rounds)) % stride == 0]
+                    chosen = place[targets(lengths, number, rounds, stride)]
                     held.append((contexts(flat_tokens, chosen), flat_tokens[chosen]))
                     waiting += len(chosen)
                     if waiting >= BATCH:
