@@ -296,6 +296,22 @@ def test_main_text():
     assert html_text.main_text(plain) == "Head\n" + BODY.strip()
 
 
+def test_sections_of_readers():
+    text = BODY.strip()
+    menu = "<ul><li><a href=1>One link</a></li></ul>"
+    # an article's own headings, at its top and within it
+    assert html_text.main_text(f"{menu}<article><h1>Comment \u00e7a marche</h1><p>{BODY}</p><h2>Comment faire ?</h2><p>{BODY}</p></article>") == "\n".join(["Comment \u00e7a marche", text, "Comment faire ?", text])
+    assert html_text.main_text(f"{menu}<article><h1>Comments</h1><p>{BODY}</p></article>") == f"Comments\n{text}"
+    assert html_text.main_text(f"<article><h1>Law</h1><p>{BODY}</p><h2>Responses to fire</h2><p>{BODY}</p></article>") == "\n".join(["Law", text, "Responses to fire", text])
+    # boilerplate before the article
+    assert html_text.main_text(f"<aside><h3>Comments</h3></aside><article><h1>Head</h1><p>{BODY}</p></article>") == f"Head\n{text}"
+    assert html_text.main_text(f"{menu}<p>{BODY}</p><h2>Comments</h2><p>Mine. {BODY}</p>") == text
+    # a section of readers goes, what follows it stays
+    for heading in ("Comments", "12 comments", "Comments (3)", "Reader comments:", "Kommentare"):
+        page = f"<h1>Head</h1><p>{BODY}</p><h2>{heading}</h2><p>Mine. {BODY}</p><h3>Re</h3><p>Mine. {BODY}</p><h2>Sources</h2><p>{BODY}</p>"
+        assert html_text.main_text(page) == "\n".join(["Head", text, "Sources", text])
+
+
 def test_inherit():
     assert html_text.inherit(["bad", "short", "good", "short", "short", "good", "near", "bad", "short", "bad"]) == [False, True, True, True, True, True, True, False, False, False]
     assert html_text.inherit(["short"]) == [True]

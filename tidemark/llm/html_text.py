@@ -61,8 +61,8 @@ NEVER = _names(
 #: Words that do so unless the element names itself part of an article too, or stands in one.
 SELDOM = _names(r"header|footer|foot|head|legal|side|left|right|popular|more|follow|tags?|discussion|form|hidden|meta|info|disclaimer|bar|top|bottom")
 ARTICLE = _names(r"article\w*|post|entry|content|main|body|story|text")
-#: A heading from which on readers speak.
-READERS = re.compile(r"(?:\d+\s+)?(?:(?:reader|user)s?\W*\s+)?(?:comments?|replies|responses|kommentare?|leserkommentare|commentaires?|comentarios?)\b.{0,12}$", re.I)
+#: A heading of a section in which readers speak, as a whole: "Comments", "12 comments", "Comments (3)".
+READERS = re.compile(r"(?:\d+\s+)?(?:(?:reader|user)s?\W*\s+)?(?:comments?|replies|responses|kommentare?|leserkommentare|commentaires?|comentarios?)\s*(?:\(\s*\d+\s*\)|\[\s*\d+\s*\]|:?\s*\d+)?\s*:?", re.I)
 TOKEN = re.compile(r"<!--(.*?)(?:-->|$)|<!\[CDATA\[(.*?)(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)(?:>|(?=<)|$)", re.S)
 ATTRIBUTE = re.compile(r"""([a-zA-Z_:][\w:.-]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 RAW = {name: re.compile(rf"</{name}\b[^>]*(?:>|$)", re.I) for name in ("script", "style", "textarea", "title", "noscript", "iframe", "template")}
@@ -74,13 +74,13 @@ LONG, SHORT = 30, 8
 STOP_HIGH, STOP_LOW, MAX_LINKS = 0.16, 0.08, 0.4
 
 
-def blocks(page: str) -> list[tuple[str, int, bool, bool, bool]]:
-    """Blocks (text, words in links, in boilerplate, in an article, is a heading) in page order."""
-    out: list[tuple[str, int, bool, bool, bool]] = []
+def blocks(page: str) -> list[tuple[str, int, bool, bool, int]]:
+    """Blocks (text, words in links, in boilerplate, in an article, level of the heading or 0) in page order."""
+    out: list[tuple[str, int, bool, bool, int]] = []
     stack: list[tuple[str, bool, bool]] = []  # (element, in boilerplate, in an article)
     parts: list[str] = []
     linked: list[str] = []
-    heading = False
+    heading = 0
     bad = article = False
     links = 0
 
@@ -114,7 +114,7 @@ def blocks(page: str) -> list[tuple[str, int, bool, bool, bool]]:
                 parts.append(" ")
             if name in BLOCKS:
                 end()
-                heading = False
+                heading = 0
                 for k in range(len(stack) - 1, -1, -1):
                     if stack[k][0] == name:
                         del stack[k:]
@@ -138,7 +138,7 @@ def blocks(page: str) -> list[tuple[str, int, bool, bool, bool]]:
                 while stack and stack.pop()[0] != "p":
                     pass
                 bad, article = stack[-1][1:] if stack else (False, False)
-            heading = name in ("h1", "h2", "h3", "h4", "h5", "h6")
+            heading = int(name[1]) if name in ("h1", "h2", "h3", "h4", "h5", "h6") else 0
             if name == "hr" or m[5].rstrip().endswith("/"):
                 continue
             about = " ".join(a[1] or a[2] or a[3] for a in ATTRIBUTE.findall(m[5]) if a[0].lower() in ("class", "id", "role")) if m[5] else ""
@@ -157,7 +157,7 @@ def blocks(page: str) -> list[tuple[str, int, bool, bool, bool]]:
     return out
 
 
-def classify(text: str, in_links: int, heading: bool) -> str:
+def classify(text: str, in_links: int, heading: int) -> str:
     """First pass: good, bad, near (good) or short."""
     words = text.split()
     n = len(words)
@@ -201,10 +201,24 @@ def inherit(labels: list[str]) -> list[bool]:
     return out
 
 
+def without_readers(found: list[tuple[str, int, bool, bool, int]]) -> list[tuple[str, int, bool, bool, int]]:
+    """``found`` without the sections of readers: from their heading to the next one of its level or above, or to where an article begins or ends. A heading before any text is the title, and begins none."""
+    out = []
+    level = 0
+    begun = inside = False
+    for b in found:
+        if level and (b[3] != inside or 0 < b[4] <= level):
+            level = 0
+        if not level and begun and b[4] > 1 and READERS.fullmatch(b[0]):
+            level, inside = b[4], b[3]
+        begun = begun or b[4] > 0 or classify(b[0], b[1], b[4]) in ("good", "near")
+        if not level:
+            out.append(b)
+    return out
+
+
 def main_text(page: str | None) -> str:
-    found = blocks(page or "")
-    end = next((i for i, b in enumerate(found) if b[4] and i and READERS.match(b[0])), len(found))
-    found = [b for b in found[:end] if not b[2]]
+    found = without_readers([b for b in blocks(page or "") if not b[2]])
     if any(b[3] for b in found):  # an article element: what is around it is not the article
         found = [b for b in found if b[3]]
     labels = [classify(text, links, heading) for text, links, _, _, heading in found]
