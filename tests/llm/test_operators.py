@@ -527,6 +527,23 @@ def test_mixing(spark, odd, nothing):
     assert mixing.mix(nothing, {"source": 0.5}, 0.5).count() == 0
 
 
+def test_mixing_copies_meet_the_targets(spark):
+    # notes hold 2 % of the tokens and are to be half of what is drawn: a document at most once cannot do that
+    rng = random.Random(7)
+    rows = [(i, "w " * rng.randint(5, 15), rng.choice("ab"), "note" if rng.random() < 0.02 else "prose") for i in range(20_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, kind string")
+    targets = {"source": {"a": 0.3, "b": 0.7}, "kind": {"note": 0.5, "prose": 0.5}}
+    got = mixing.mix(df, targets, 0.6).select("mix.*").toPandas()
+    total = got.tokens.sum()
+    for dim, shares in targets.items():
+        for value, share in shares.items():
+            own = got[got[dim] == value]
+            assert (own.tokens * own.expected).sum() == pytest.approx(share * 0.6 * total, rel=1e-4)
+            assert (own.tokens * own.copies).sum() == pytest.approx(share * 0.6 * total, rel=0.03)
+    once = got[got.sampled]
+    assert once[once.kind == "note"].tokens.sum() < 0.1 * once.tokens.sum()
+
+
 def test_mixing_beyond_the_bounds(spark, docs, monkeypatch):
     args = ({"source": 0.5, "topic": {"prose": 0.8}}, 0.5)
     want = rows_of(mixing.mix(docs, *args).select("doc_id", "mix.weight", "mix.sampled"), "doc_id", "weight", "sampled")

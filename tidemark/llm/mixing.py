@@ -6,6 +6,9 @@ dimension after the other, they are scaled so that the weighted tokens of each
 value have its target share. Documents are then drawn by a hash of their id,
 with a probability proportional to their cell's weight, at most 1, and
 calibrated so that the expected number of tokens is the given share of all.
+Where a cell's probability is cut at 1 this single draw misses the targets; the
+number of ``copies``, whole ones plus a draw for the fraction, meets them: a
+document is expected ``expected`` times, which is in proportion to its weight.
 
 All steps are DataFrame functions. Documents are counted into cells before
 anything is shuffled, so a source that holds a third of them is no hot key; the
@@ -109,8 +112,9 @@ def rake(cells: DataFrame, targets: dict[str, dict[str, float] | float], sweeps:
 
 
 def calibrate(cells: DataFrame, share: float, rounds: int = ROUNDS) -> DataFrame:
-    """``cells`` with ``probability`` = min(1, c * weight), c such that the expected tokens are ``share`` of all (or all that can be had)."""
-    total = cells.agg(F.sum("tokens")).first()[0] or 0
+    """``cells`` with ``probability`` = min(1, c * weight), c such that the expected tokens are ``share`` of all (or all that can be had); and ``expected``, in proportion to the weight without a bound."""
+    sums = cells.agg(F.sum("tokens"), F.sum(F.col("weight") * F.col("tokens"))).first()
+    total, mass = sums[0] or 0, sums[1] or 0
     c, full = 0.0, -1
     for _ in range(rounds):
         capped = F.col("weight") * c >= 1
@@ -119,16 +123,16 @@ def calibrate(cells: DataFrame, share: float, rounds: int = ROUNDS) -> DataFrame
             break
         full = r["n"]
         c = max(c, (share * total - r["whole"]) / r["rest"])
-    return cells.withColumn("probability", F.least(F.lit(1.0), F.col("weight") * c))
+    return cells.withColumns({"probability": F.least(F.lit(1.0), F.col("weight") * c), "expected": F.col("weight") * (share * total / mass if mass else 0.0)})
 
 
 def mix(docs: DataFrame, targets: dict[str, dict[str, float] | float], share: float, id_col: str = "doc_id", text_col: str = "text", topic: Column | None = None, seed: str = "mix", sweeps: int = SWEEPS) -> DataFrame:
-    """The rows and columns of ``docs`` with a struct column ``mix``: the dimensions, tokens, weight, probability, sampled.
+    """The rows and columns of ``docs`` with a struct column ``mix``: the dimensions, tokens, weight, probability, sampled, expected, copies.
 
     ``targets`` maps dimensions (columns of ``docs``, or "topic") to target
     shares by value, or to a power; see ``target_shares``.
     """
-    text, tokens, weight, probability, salt = fresh(docs, "text", "tokens", "weight", "probability", "salt")
+    text, tokens, weight, probability, expected, salt = fresh(docs, "text", "tokens", "weight", "probability", "expected", "salt")
     dims = {d: fresh(docs, f"dim_{d}")[0] for d in targets}
     df = docs.withColumn(text, text_of(text_col))
     values = {d: (topic if topic is not None else topic_of(F.col(text))) if d == "topic" else F.coalesce(F.col(d).cast("string"), F.lit("")) for d in dims}
@@ -136,17 +140,21 @@ def mix(docs: DataFrame, targets: dict[str, dict[str, float] | float], share: fl
     cells = cut(df.groupBy(*(F.col(dims[d]).alias(d) for d in dims)).agg(F.sum(tokens).alias("tokens")))
     # in weights to 9 decimals, so that the order in which sums are added does not show
     fitted = cut(calibrate(rake(cells, targets, sweeps).withColumn("weight", F.round("weight", 9)), share))
-    small = fitted.select(*(F.col(d).alias(dims[d]) for d in dims), F.col("weight").alias(weight), F.round("probability", 9).alias(probability))
+    small = fitted.select(*(F.col(d).alias(dims[d]) for d in dims), F.col("weight").alias(weight), F.round("probability", 9).alias(probability), F.round("expected", 9).alias(expected))
     if fitted.count() <= MAX_BROADCAST_CELLS:
         met = df.join(F.broadcast(small), list(dims.values()), "left")
     else:
         spread = small.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         met = df.withColumn(salt, F.pmod(F.xxhash64(id_col), F.lit(SALTS)).cast("int")).join(spread, [*dims.values(), salt], "left")
+    draw = draw_of(F.col(id_col), seed)
+    whole = F.floor(expected)
     out = F.struct(
         *(F.col(dims[d]).alias(d) for d in dims),
         F.col(tokens).alias("tokens"),
         F.col(weight).alias("weight"),
         F.col(probability).alias("probability"),
-        (draw_of(F.col(id_col), seed) < F.col(probability)).alias("sampled"),
+        (draw < F.col(probability)).alias("sampled"),
+        F.col(expected).alias("expected"),
+        (whole + (draw < F.col(expected) - whole).cast("long")).alias("copies"),
     )
     return met.withColumn("mix", out).select(*with_out(docs, "mix"))
