@@ -2,27 +2,41 @@
 
 A page is split into blocks at block-level tags. The first pass classifies each
 block by its length, its link density and its stop-word density as good, bad,
-near-good or short (undecided). Blocks inside elements that hold no article text (menus, headers,
-footers, sidebars, forms, adverts, notices, comments) are left out beforehand. In the second pass near-good and short blocks inherit the label of the
-nearest decided neighbours: the one both sides agree on, and where they differ
-that of the nearer one (near-good ones then count as good). An ``article`` or
-``main`` element bounds where neighbours are looked for: blocks in it are
-decided among themselves.
+near-good or short (undecided). What the markup says is evidence beside these:
+
+* Blocks in menus, page headers, footers, sidebars and dialogs are bad, and so
+  are those in forms and in elements whose class, id or role names an advert, a
+  notice, navigation or readers' comments, unless the page has no other text;
+  then such a name only lowers a block's label by one step.
+* Vaguer names (a side, a share bar) lower it by one step.
+* ``article`` (or else ``main``) elements that hold at least half of the page's
+  other words are its article: blocks in them are decided among themselves, and
+  long ones of few stop words count as near-good; a block elsewhere needs the
+  density of a good one and twice its length.
+
+In the second pass near-good and short blocks inherit the label of the nearest
+decided neighbours: the one both sides agree on, and where they differ that of
+the nearer one (near-good ones then count as good). Sections under a heading
+that says "Comments", and no more, are left out.
 
 Pages are independent rows, worked on in Arrow batches; nothing is shuffled.
+Time and memory are linear in a page's length, whatever its markup.
 
 Defined cases: null and empty html give an empty text; malformed and cut-off
-markup is read as far as it goes (an unclosed tag or comment ends with the
-page); a page whose blocks are all undecided keeps those outside boilerplate
-elements; repeated rows are extracted each; other columns are kept by
-``extract`` as they are; an empty table gives an empty result.
+markup is read as far as it goes (an unclosed comment or script ends with the
+page, an unclosed quote at the next angle bracket); a page whose blocks are all
+undecided keeps those outside boilerplate elements; ties go to the good side;
+repeated rows are extracted each; other columns are kept by ``extract`` as they
+are; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import html as html_lib
 import re
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -42,55 +56,97 @@ STOP_WORDS = frozenset(
 )
 # HTML elements by what they do here.
 DROPPED = frozenset("script style noscript template head title svg math canvas iframe object select option textarea button datalist audio video".split())
-BOILERPLATE = frozenset("nav header footer aside form menu dialog".split())
+BOILERPLATE = frozenset("nav header footer aside menu dialog".split())
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split())
-VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 #: Elements that a new paragraph or list item ends, as HTML has it.
 CLOSES_P = BLOCKS - {"html", "body"}
 
+
 def _names(words: str) -> re.Pattern:
     return re.compile(rf"(?<!no[-_])(?<!has[-_])(?<!with[-_])(?<![a-z0-9])(?:{words})(?![a-z0-9])", re.I)
 
 
-#: Words of a class, id or role that name something else than the article, wherever they stand.
-NEVER = _names(
-    r"ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|alert\w*|popup|modal|overlay|newsletter|subscri\w*|signup|login|paywall"
-    r"|nav\w*|menu\w*|breadcrumbs?|pagination|pager|toolbar|topbar|masthead|site-?header|site-?footer|copyright|sidebar\w*|aside|widget\w*|related\w*|recommend\w*|trending"
-    r"|share|sharing|social\w*|tagcloud|comments?|commentlist|reader-?comments?|reply|replies|respond|disqus|search\w*|skip|complementary|contentinfo|navigation"
+#: Words of a class, id or role that name something else than the article.
+NAMED = _names(
+    r"ads?|advert\w*|adsense|sponsor\w*|cookies?|consent|gdpr|notices?|newsletter|subscri\w*|signup|login|paywall"
+    r"|nav|navbar|navigation|menu\w*|breadcrumbs?|pagination|pager|masthead|site-?header|site-?footer|copyright|sidebar\w*|aside|related\w*|recommend\w*|trending"
+    r"|comments?|commentlist|reader-?comments?|reply|replies|respond|disqus|complementary|contentinfo"
+)
+#: Words that may do so.
+VAGUE = _names(
+    r"header|footer|foot|head|legal|side|left|right|popular|more|follow|tags?|discussion|form|hidden|meta|info|disclaimer|bar|top|bottom"
+    r"|share|sharing|social\w*|tagcloud|search\w*|skip|banner|alert|popup|modal|overlay|promo\w*|toolbar|topbar|widget\w*"
 )
-#: Words that do so unless the element names itself part of an article too, or stands in one.
-SELDOM = _names(r"header|footer|foot|head|legal|side|left|right|popular|more|follow|tags?|discussion|form|hidden|meta|info|disclaimer|bar|top|bottom")
 ARTICLE = _names(r"article\w*|post|entry|content|main|body|story|text")
 #: A heading of a section in which readers speak, as a whole: "Comments", "12 comments", "Comments (3)".
 READERS = re.compile(r"(?:\d+\s+)?(?:(?:reader|user)s?\W*\s+)?(?:comments?|replies|responses|kommentare?|leserkommentare|commentaires?|comentarios?)\s*(?:\(\s*\d+\s*\)|\[\s*\d+\s*\]|:?\s*\d+)?\s*:?", re.I)
-TOKEN = re.compile(r"<!--(.*?)(?:-->|$)|<!\[CDATA\[(.*?)(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)(?:>|(?=<)|$)", re.S)
-ATTRIBUTE = re.compile(r"""([a-zA-Z_:][\w:.-]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
-RAW = {name: re.compile(rf"</{name}\b[^>]*(?:>|$)", re.I) for name in ("script", "style", "textarea", "title", "noscript", "iframe", "template")}
+TOKEN = re.compile(r"<!--(?:.*?)(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)", re.S)
+#: What stands in a tag after its name: with quoted values, and up to the next angle bracket.
+INSIDE, INSIDE_PLAIN = re.compile(r"(?:[^<>\"']++|\"[^\"]*\"|'[^']*')*+"), re.compile(r"[^<>]*+")
+#: Unclosed quotes in one page after which quotes in tags are not heeded any more.
+MAX_UNCLOSED = 16
+ATTRIBUTE = re.compile(r"""([a-zA-Z_:][\w:.-]*+)(?:\s*+=\s*+(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+NO_DISPLAY = re.compile(r"display\s*:\s*none", re.I)
+#: Elements of which nothing is read, up to their closing tag.
+SKIPPED = DROPPED | {"script", "style", "textarea", "title", "noscript", "iframe", "template"}
+#: Those of them whose content is no markup: unclosed, they end with the page.
+RAW = frozenset("script style textarea title noscript iframe template".split())
+CLOSING = {name: re.compile(rf"</{name}\b[^>]*(?:>|\Z)", re.I) for name in SKIPPED}
 WORD = re.compile(r"[^\W\d_]+")
 
 #: Words from which a block counts as long, and below which it is short.
 LONG, SHORT = 30, 8
 #: Densities (of words that are stop words, of words that are in links).
 STOP_HIGH, STOP_LOW, MAX_LINKS = 0.16, 0.08, 0.4
+#: Share of a page's words from which ``article`` (or ``main``) elements are its article.
+MAIN_SHARE = 0.5
+LOWER = {"good": "near", "near": "short", "short": "bad", "bad": "bad"}
 
 
-def blocks(page: str) -> list[tuple[str, int, bool, bool, int]]:
-    """Blocks (text, words in links, in boilerplate, in an article, level of the heading or 0) in page order."""
-    out: list[tuple[str, int, bool, bool, int]] = []
-    stack: list[tuple[str, bool, bool]] = []  # (element, in boilerplate, in an article)
+@dataclass(slots=True)
+class Block:
+    text: str
+    #: Words in links.
+    linked: int
+    #: The element it begins in, and the level of the heading or 0.
+    element: str
+    heading: int
+    #: In an element that is boilerplate; in one named so; in one vaguely named so.
+    boilerplate: bool
+    named: bool
+    vague: bool
+    article: bool
+    main: bool
+
+    @property
+    def words(self) -> int:
+        return len(self.text.split())
+
+
+def blocks(page: str) -> list[Block]:
+    """Blocks in page order."""
+    out: list[Block] = []
+    # an open element: (name, boilerplate, named, vague, article, main)
+    outside = ("", False, False, False, False, False)
+    stack = [outside]
+    opened: Counter[str] = Counter()
     parts: list[str] = []
     linked: list[str] = []
-    heading = 0
-    bad = article = False
-    links = 0
+    element, heading, links, unclosed = "", 0, 0, 0
+    absent: set[str] = set()  # elements without a closing tag from here on
 
     def end() -> None:
         nonlocal parts, linked
         text = " ".join(html_lib.unescape("".join(parts)).split())
         if text:
-            out.append((text, len("".join(linked).split()), bad, article, heading))
+            out.append(Block(text, len("".join(linked).split()), element, heading, *stack[-1][1:]))
         parts, linked = [], []
 
+    def leave(k: int) -> None:
+        for x in stack[k:]:
+            opened[x[0]] -= 1
+        del stack[k:]
+
     at = 0
     while at < len(page):
         m = TOKEN.search(page, at)
@@ -101,64 +157,69 @@ def blocks(page: str) -> list[tuple[str, int, bool, bool, int]]:
                 linked.append(data + " ")
         if not m:
             break
-        at = max(m.end(), at + 1)
-        if m[2]:
-            parts.append(html_lib.escape(m[2]))
-        name = (m[4] or "").lower()
-        if not name:
+        at = m.end()
+        if m[1]:
+            parts.append(html_lib.escape(m[1]))
+        if not m[3]:
             continue
-        if m[3]:  # a closing tag
-            if name in ("a",):
-                links = max(0, links - 1)
-            if name == "br":
+        name = m[3].lower()
+        inside = (INSIDE if unclosed < MAX_UNCLOSED else INSIDE_PLAIN).match(page, at)
+        if inside.end() < len(page) and page[inside.end()] in "\"'":
+            unclosed += 1
+            inside = INSIDE_PLAIN.match(page, at)
+        about = inside[0]
+        at = inside.end() + (page[inside.end() : inside.end() + 1] == ">")
+        if m[2]:  # a closing tag
+            if name == "a":
+                links = 0
+            elif name == "br":
                 parts.append(" ")
-            if name in BLOCKS:
+            elif name in BLOCKS:
                 end()
-                heading = 0
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == name:
-                        del stack[k:]
-                        break
-                bad, article = stack[-1][1:] if stack else (False, False)
-                links = 0
+                element, heading, links = "", 0, 0
+                if opened[name] > 0:
+                    leave(next(k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == name))
             continue
-        if name in RAW:
-            close = RAW[name].search(page, at)
-            at = close.end() if close else len(page)
+        if name in SKIPPED:
             parts.append(" ")
+            close = CLOSING[name].search(page, at) if name not in absent else None
+            if close:
+                at = close.end()
+            elif name in RAW:
+                break
+            else:
+                absent.add(name)
             continue
         if name == "a":
             links = 1  # links do not nest
-        elif name in ("br", "img", "input", "wbr"):
-            parts.append("" if name == "wbr" else " ")
+        elif name in ("br", "img", "input"):
+            parts.append(" ")
         elif name in BLOCKS:
             end()
             links = 0
             if name in CLOSES_P and any(x[0] == "p" for x in stack[-3:]):
-                while stack and stack.pop()[0] != "p":
-                    pass
-                bad, article = stack[-1][1:] if stack else (False, False)
-            heading = int(name[1]) if name in ("h1", "h2", "h3", "h4", "h5", "h6") else 0
-            if name == "hr" or m[5].rstrip().endswith("/"):
+                leave(next(k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == "p"))
+            element, heading = name, int(name[1]) if name in ("h1", "h2", "h3", "h4", "h5", "h6") else 0
+            if name == "hr" or about.rstrip().endswith("/"):
                 continue
-            about = " ".join(a[1] or a[2] or a[3] for a in ATTRIBUTE.findall(m[5]) if a[0].lower() in ("class", "id", "role")) if m[5] else ""
-            hidden = bool(m[5]) and bool(re.search(r"\bhidden\b|display\s*:\s*none|aria-hidden\s*=\s*.?true", m[5], re.I))
-            inner_header = name == "header" and article  # an article's own heading
-            if about and name not in ("html", "body", "main"):
-                hidden = hidden or bool(NEVER.search(about)) or not article and bool(SELDOM.search(about)) and not ARTICLE.search(about)
-            bad = bad or (name in BOILERPLATE and not inner_header) or hidden
-            article = article or name in ("article", "main") and not bad
-            stack.append((name, bad, article))
-        elif name in DROPPED and name not in VOID:
-            close = re.compile(rf"</{name}\b[^>]*(?:>|$)", re.I).search(page, at)
-            at = close.end() if close else at
-            parts.append(" ")
+            _, boilerplate, named, vague, article, main = stack[-1]
+            values = {a[0].lower(): a[1] or a[2] or a[3] for a in ATTRIBUTE.findall(about)} if about else {}
+            label = " ".join(values[k] for k in ("class", "id", "role") if k in values)
+            if label and name not in ("html", "body", "main"):
+                named = named or bool(NAMED.search(label))
+                vague = vague or bool(VAGUE.search(label)) and not ARTICLE.search(label)
+            hidden = "hidden" in values or values.get("aria-hidden", "").lower() == "true" or bool(NO_DISPLAY.search(values.get("style", "")))
+            # the header of an article is its own heading
+            boilerplate = boilerplate or hidden or name in BOILERPLATE and not (name == "header" and (article or main))
+            named = named or name == "form"
+            stack.append((name, boilerplate, named, vague, article or name == "article", main or name == "main"))
+            opened[name] += 1
     end()
     return out
 
 
 def classify(text: str, in_links: int, heading: int) -> str:
-    """First pass: good, bad, near (good) or short."""
+    """First pass: good, bad, near (good) or short, by densities alone."""
     words = text.split()
     n = len(words)
     if in_links > MAX_LINKS * n:
@@ -201,28 +262,53 @@ def inherit(labels: list[str]) -> list[bool]:
     return out
 
 
-def without_readers(found: list[tuple[str, int, bool, bool, int]]) -> list[tuple[str, int, bool, bool, int]]:
+def without_readers(found: list[Block]) -> list[Block]:
     """``found`` without the sections of readers: from their heading to the next one of its level or above, or to where an article begins or ends. A heading before any text is the title, and begins none."""
     out = []
     level = 0
     begun = inside = False
     for b in found:
-        if level and (b[3] != inside or 0 < b[4] <= level):
+        if level and (b.article != inside or 0 < b.heading <= level):
             level = 0
-        if not level and begun and b[4] > 1 and READERS.fullmatch(b[0]):
-            level, inside = b[4], b[3]
-        begun = begun or b[4] > 0 or classify(b[0], b[1], b[4]) in ("good", "near")
+        if not level and begun and b.heading > 1 and READERS.fullmatch(b.text):
+            level, inside = b.heading, b.article
+        begun = begun or b.heading > 0 or classify(b.text, b.linked, b.heading) in ("good", "near")
         if not level:
             out.append(b)
     return out
 
 
+def kept(found: list[Block]) -> list[Block]:
+    """Both passes over the blocks that stand in no boilerplate element."""
+    first = {id(b): classify(b.text, b.linked, b.heading) for b in found}
+    if any(first[id(b)] != "bad" for b in found if not b.named):
+        found = [b for b in found if not b.named]
+    total = sum(b.words for b in found)
+    region = next((x for x in ("article", "main") if total and sum(b.words for b in found if getattr(b, x)) >= MAIN_SHARE * total), None)
+    within, labels = [], []
+    sure: set[int] = set()
+    for b in found:
+        label = first[id(b)]
+        if b.vague or b.named:
+            label = LOWER[label]
+        if region is None:
+            within.append(b)
+            labels.append(label)
+        elif getattr(b, region):
+            if label == "short" and b.words >= SHORT and not b.heading:
+                label = "near"
+            elif label == "bad" and b.linked and (b.element == "p" or b.heading):  # a paragraph or heading that is mostly a link
+                label = "short"
+            within.append(b)
+            labels.append(label)
+        elif label == "good" and b.words >= 2 * LONG:
+            sure.add(id(b))
+    sure |= {id(b) for b, keep in zip(within, inherit(labels), strict=True) if keep}
+    return [b for b in found if id(b) in sure]
+
+
 def main_text(page: str | None) -> str:
-    found = without_readers([b for b in blocks(page or "") if not b[2]])
-    if any(b[3] for b in found):  # an article element: what is around it is not the article
-        found = [b for b in found if b[3]]
-    labels = [classify(text, links, heading) for text, links, _, _, heading in found]
-    return "\n".join(b[0] for b, keep in zip(found, inherit(labels), strict=True) if keep)
+    return "\n".join(b.text for b in kept(without_readers([b for b in blocks(page or "") if not b.boilerplate])))
 
 
 def extract(pages: DataFrame, html_col: str = "html", out: str = "text") -> DataFrame:
