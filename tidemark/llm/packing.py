@@ -7,9 +7,9 @@ estimated as ``linear * n + quadratic * n * n`` (attention grows with the
 square of a piece), and pieces go, in descending order, to the sequence of
 lowest cost with room for them. A piece that fits nowhere whole is cut: the
 cheapest sequence that is not full takes what it has room for, and the rest
-queues again. A block's sequences hold exactly its ids: as many full ones as
-there are, and for what is left one sequence for each power of two in it.
-Neither kind is padded.
+queues again. A block's sequences are full; what is left of it goes to the next
+block, and of a partition's last block to one sequence for each power of two in
+it. Neither kind is padded.
 
 Blocks are cut from the rows of one input partition in their order, so packing
 shuffles nothing, holds one block at a time, and gives the same pieces when a
@@ -21,7 +21,8 @@ default they are computed by ``tiktoken`` from the same file's vocabulary,
 which is several times faster; ``engine="tokenizers"`` uses that library itself.
 
 Defined cases: null and empty texts have the separator alone; repeated rows are
-packed each; a null id stays null; very long texts are cut like others; an
+packed each; a null id stays null; very long texts, and runs of white space of
+any length, are cut like others; an
 empty table gives no pieces.
 """
 
@@ -30,6 +31,7 @@ from __future__ import annotations
 import functools
 import heapq
 import json
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,6 +45,8 @@ SEPARATOR = 1
 LINEAR, QUADRATIC = 1.0, 1.0 / SEQUENCE
 #: Ids that a block holds before it is packed (pieces below the sequence length only).
 BLOCK_IDS = 1 << 20
+#: White space, as the vocabulary's pattern has it, so long that its run is cut out of a text.
+LONG_SPACE = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]{20000,}")
 
 PIECES = "doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint"
 
@@ -70,23 +74,38 @@ def encoder(vocabulary: str, engine: str = "tiktoken"):
     special = {x["content"]: x["id"] for x in spec["added_tokens"]}
     ranks = {bytes(as_byte[c] for c in token): n for token, n in spec["model"]["vocab"].items() if token not in special}
     fast = tiktoken.Encoding("vocabulary", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
-    return lambda texts: [fast.encode(t, allowed_special="all") for t in texts]
+
+    def encode(text: str) -> list[int]:
+        """The pattern's engine gives up on very long runs of white space; these are taken out and merged as the pieces that the pattern makes of them."""
+        out, at = [], 0
+        for run in LONG_SPACE.finditer(text):
+            after = run.end() < len(text) and not text.startswith(tuple(special), run.end())
+            end = run.end() - after  # the last character goes with what follows
+            out += fast.encode(text[at : run.start()], allowed_special="all")
+            out += fast._encode_single_piece(text[run.start() : end])
+            at = end
+        return out + fast.encode(text[at:], allowed_special="all")
+
+    return lambda texts: [encode(t) for t in texts]
 
 
 def powers_of_two(n: int) -> list[int]:
     return [1 << b for b in range(n.bit_length() - 1, -1, -1) if n >> b & 1]
 
 
-def pack_block(lengths: list[int], sequence: int = SEQUENCE, linear: float = LINEAR, quadratic: float = QUADRATIC) -> list[tuple[int, int, int, int, int]]:
-    """Pieces (which, start, length, sequence number, offset) that hold each id of the given lengths exactly once."""
+def pack_block(lengths: list[int], sequence: int = SEQUENCE, linear: float = LINEAR, quadratic: float = QUADRATIC, last: bool = True) -> tuple[list[tuple[int, int, int, int, int]], list[tuple[int, int, int]]]:
+    """Pieces (which, start, length, sequence number, offset) of the given lengths, and what is left (which, start, length).
+
+    All sequences but those for the rest of the ``last`` block are full; of other blocks that rest is what is left.
+    """
     full, rest = divmod(sum(lengths), sequence)
-    room = np.array([sequence] * full + powers_of_two(rest), dtype=np.int64)
+    room = np.array([sequence] * full + powers_of_two(rest) * last, dtype=np.int64)
     total = room.copy()
     cost = np.zeros(len(room))
     queue = [(-n, i, 0) for i, n in enumerate(lengths) if n]
     heapq.heapify(queue)
-    out = []
-    while queue:
+    out, spare = [], int(room.sum())
+    while spare:
         n, i, start = heapq.heappop(queue)
         n = -n
         fits = np.where(room >= n, cost, np.inf)
@@ -96,10 +115,11 @@ def pack_block(lengths: list[int], sequence: int = SEQUENCE, linear: float = LIN
         take = min(n, int(room[s]))
         out.append((i, start, take, s, int(total[s] - room[s])))
         room[s] -= take
+        spare -= take
         cost[s] += linear * take + quadratic * take * take
         if take < n:
             heapq.heappush(queue, (take - n, i, start + take))
-    return out
+    return out, sorted((i, start, -n) for n, i, start in queue)
 
 
 def pack_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", sequence: int = SEQUENCE, separator: int = SEPARATOR, linear: float = LINEAR, quadratic: float = QUADRATIC, block_ids: int = BLOCK_IDS, engine: str = "tiktoken") -> DataFrame:
@@ -114,14 +134,15 @@ def pack_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", tex
         block: list[tuple] = []  # (doc id, start, ids, ids of the document)
         held = 0
 
-        def flush() -> None:
+        def flush(last: bool) -> None:
             nonlocal number, block, held
-            pieces = pack_block([len(x[2]) for x in block], sequence, linear, quadratic)
+            pieces, left = pack_block([len(x[2]) for x in block], sequence, linear, quadratic, last)
             for i, at, n, s, offset in pieces:
                 doc, start, ids, whole = block[i]
                 rows.append((doc, start + at, n, ids[at : at + n].tobytes(), whole, number + s, offset))
             number += 1 + max((p[3] for p in pieces), default=-1)
-            block, held = [], 0
+            block = [(doc, start + at, ids[at : at + n], whole) for (doc, start, ids, whole), at, n in ((block[i], at, n) for i, at, n in left)]
+            held = sum(len(x[2]) for x in block)
 
         def frame() -> pd.DataFrame:
             nonlocal rows
@@ -145,10 +166,10 @@ def pack_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", tex
                         block.append((doc, cut, ids[cut:].copy(), whole))
                         held += whole - cut
                     if held >= block_ids:
-                        flush()
+                        flush(False)
                 if len(rows) >= 2000:
                     yield frame()
-        flush()
+        flush(True)
         yield frame()
 
     df = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
