@@ -2,10 +2,10 @@
 
 Two multinomials over hashed n-grams are counted: one over the trusted
 documents, one over every document. A document's verdict is the mean, over its
-n-grams, of log p_target - log p_raw, held against a fixed threshold. Words
-enter the n-grams with each run of lower-case letters collapsed to ``a``, so
-that the multinomials tell writing apart from junk (stray symbols, shouting,
-table cells) and do not depend on which rare words a text happens to use.
+n-grams, of log p_target - log p_raw, held against a fixed threshold. The
+n-grams are the 1-grams and 2-grams of a text's words, and beside them those of
+the words' shapes (each run of lower-case letters collapsed to ``a``), which
+tell stray symbols, shouting and table cells whatever the words are.
 
 All steps are DataFrame functions. Corpus counts are summed before they are
 shuffled (at most ``buckets`` rows a task); a document is never shuffled.
@@ -23,10 +23,11 @@ from pyspark.sql import functions as F
 
 from .common import SPACE_CLASS, fresh, text_of
 
-#: Number of hash buckets of each multinomial.
-BUCKETS = 1 << 13
+#: Hash buckets of the n-grams of words, and after them those of shapes.
+WORD_BUCKETS, SHAPE_BUCKETS = 1 << 16, 1 << 13
+BUCKETS = WORD_BUCKETS + SHAPE_BUCKETS
 #: Documents scoring below this mean log-likelihood ratio (nats an n-gram) are dropped.
-THRESHOLD = -0.5
+THRESHOLD = -0.25
 #: Trusted documents that the target multinomial is fitted on, at most: the bound of what is broadcast.
 MAX_TARGET_DOCS = 20_000
 #: Words in a window that counts as a repeat.
@@ -39,18 +40,25 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(text, SPACE_CLASS), lambda w: w != F.lit(""))
 
 
-def with_ngrams(df: DataFrame, text: str, out: str, buckets: int = BUCKETS) -> DataFrame:
-    """Adds ``out``: the hash buckets (from 0) of the 1-grams and 2-grams of the collapsed words of column ``text``."""
+def hashes_of(words: Column) -> Column:
+    return F.transform(words, lambda w: F.xxhash64(w))
+
+
+def _grams(hashes: Column, buckets: int, first: int) -> Column:
+    """The buckets, from ``first``, of the 1-grams and 2-grams of an array of hashes."""
+    place = lambda h: (F.pmod(h, F.lit(buckets)) + first).cast("int")
+    many = F.greatest(F.size(hashes) - 1, F.lit(0))
+    return F.concat(F.transform(hashes, place), F.zip_with(F.slice(hashes, F.lit(1), many), F.slice(hashes, F.lit(2), many), lambda a, b: place(F.xxhash64(a, b))))
+
+
+def with_ngrams(df: DataFrame, text: str, hashes: str, out: str) -> DataFrame:
+    """Adds ``out``: the hash buckets of the n-grams of column ``text`` and of its shapes; ``hashes`` names the hashes of its words."""
     (shapes,) = fresh(df, "shapes")
-    df = df.withColumn(shapes, words_of(F.regexp_replace(F.col(text), "\\p{Ll}+", "a")))
-    one = F.transform(shapes, lambda w: F.pmod(F.xxhash64(w), F.lit(buckets)).cast("int"))
-    firsts = F.slice(shapes, F.lit(1), F.greatest(F.size(shapes) - 1, F.lit(0)))
-    seconds = F.slice(shapes, F.lit(2), F.greatest(F.size(shapes) - 1, F.lit(0)))
-    two = F.zip_with(firsts, seconds, lambda a, b: F.pmod(F.xxhash64(a, b), F.lit(buckets)).cast("int"))
-    return df.withColumn(out, F.concat(one, two)).drop(shapes)
+    df = df.withColumn(shapes, hashes_of(words_of(F.regexp_replace(F.col(text), "\\p{Ll}+", "a"))))
+    return df.withColumn(out, F.concat(_grams(F.col(hashes), WORD_BUCKETS, 0), _grams(F.col(shapes), SHAPE_BUCKETS, WORD_BUCKETS))).drop(shapes)
 
 
-def log_ratios(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS, max_target_docs: int = MAX_TARGET_DOCS) -> DataFrame:
+def log_ratios(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_target_docs: int = MAX_TARGET_DOCS) -> DataFrame:
     """One row with the array ``ratios``: log p_target - log p_raw of each bucket, both with add-one smoothing.
 
     ``trusted`` holds ids in ``id_col``. The ``max_target_docs`` ids of lowest
@@ -59,7 +67,8 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text
     ids = trusted.select(F.col(id_col).alias("__id")).where(F.col("__id").isNotNull()).distinct()
     ids = ids.orderBy(F.xxhash64("__id"), "__id").limit(max_target_docs).withColumn("__trusted", F.lit(1))
     grams = docs.select(F.col(id_col).alias("__id"), text_of(text_col).alias("__text"))
-    flagged = with_ngrams(grams.join(F.broadcast(ids), "__id", "left"), "__text", "__grams", buckets)
+    grams = grams.join(F.broadcast(ids), "__id", "left").withColumn("__hashes", hashes_of(words_of(F.col("__text"))))
+    flagged = with_ngrams(grams, "__text", "__hashes", "__grams")
     counts = (
         # the outer form: explode() has the optimizer compute the n-grams once more, for a filter on their number
         flagged.select(F.coalesce("__trusted", F.lit(0)).alias("__trusted"), F.explode_outer("__grams").alias("bucket"))
@@ -69,16 +78,16 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text
         .groupBy("bucket")
         .agg(F.sum("count").alias("raw"), F.sum(F.when(F.col("__trusted") == 1, F.col("count")).otherwise(0)).alias("target"))
     )
-    every = docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket"))
+    every = docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("bucket"))
     full = every.join(counts, "bucket", "left").select("bucket", F.coalesce("raw", F.lit(0)).alias("raw"), F.coalesce("target", F.lit(0)).alias("target"))
     packed = full.agg(F.sort_array(F.collect_list(F.struct("bucket", "raw", "target"))).alias("c"), F.sum("raw").alias("n_raw"), F.sum("target").alias("n_target"))
-    ratio = lambda x: F.log((x["target"] + 1) / (F.col("n_target") + buckets)) - F.log((x["raw"] + 1) / (F.col("n_raw") + buckets))
+    ratio = lambda x: F.log((x["target"] + 1) / (F.col("n_target") + BUCKETS)) - F.log((x["raw"] + 1) / (F.col("n_raw") + BUCKETS))
     return packed.select(F.transform("c", lambda x: F.when(F.col("n_target") > 0, ratio(x)).otherwise(F.lit(0.0))).alias("ratios"))
 
 
-def with_base_rules(df: DataFrame, text: str, words: str) -> DataFrame:
-    """Adds n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words; ``text`` and ``words`` name columns."""
-    one, hashes, dup, at = fresh(df, "one", "hashes", "dup", "at")
+def with_base_rules(df: DataFrame, text: str, words: str, one: str) -> DataFrame:
+    """Adds n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words; ``text``, ``words`` and ``one``, the hashes of the words, name columns."""
+    hashes, dup, at = fresh(df, "hashes", "dup", "at")
     n = F.size(words)
     t = F.col(text)
     lines = F.filter(F.split(t, "\n"), lambda x: F.rlike(x, F.lit("[^\\x20\\x09-\\x0D]")))
@@ -88,7 +97,6 @@ def with_base_rules(df: DataFrame, text: str, words: str) -> DataFrame:
             "word_chars": F.length(F.array_join(words, "")).cast("long"),
             "n_symbols": F.length(F.regexp_replace(t, NO_SYMBOLS, "")).cast("long"),
             "__lines": lines,
-            one: F.transform(F.col(words), lambda w: F.xxhash64(w)),
         }
     )
     # The hash of each window of WINDOW words, from those of its words.
@@ -111,17 +119,17 @@ def with_base_rules(df: DataFrame, text: str, words: str) -> DataFrame:
     # Each repeated window covers WINDOW words, less those that the next one covers too.
     nexts = F.slice(F.concat(F.col(at), F.array(F.lit(None).cast("int"))), F.lit(2), F.size(at))
     covered = F.zip_with(F.col(at), nexts, lambda a, b: F.least(F.lit(WINDOW), F.coalesce(b - a, F.lit(WINDOW))))
-    return df.withColumn("n_repeat_words", F.aggregate(covered, F.lit(0).cast("bigint"), lambda s, x: s + x)).drop(one, hashes, dup, at)
+    return df.withColumn("n_repeat_words", F.aggregate(covered, F.lit(0).cast("bigint"), lambda s, x: s + x)).drop(hashes, dup, at)
 
 
-def quality(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS, threshold: float = THRESHOLD, max_target_docs: int = MAX_TARGET_DOCS) -> DataFrame:
+def quality(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, max_target_docs: int = MAX_TARGET_DOCS) -> DataFrame:
     """One row for each row of ``docs``: id_col, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, score, kept."""
-    ratios = log_ratios(docs, trusted, id_col, text_col, buckets, max_target_docs)
+    ratios = log_ratios(docs, trusted, id_col, text_col, max_target_docs)
     df = docs.select(F.col(id_col), text_of(text_col).alias("__text"))
-    df = df.withColumn("__words", words_of(F.col("__text")))
-    df = with_base_rules(df, "__text", "__words")
-    df = with_ngrams(df.drop("__words"), "__text", "__grams", buckets).drop("__text")
-    df = df.withColumn("__ratios", ratios.scalar())  # one array of `buckets` doubles
+    df = df.withColumn("__words", words_of(F.col("__text"))).withColumn("__one", hashes_of(F.col("__words")))
+    df = with_base_rules(df, "__text", "__words", "__one")
+    df = with_ngrams(df.drop("__words"), "__text", "__one", "__grams").drop("__text", "__one")
+    df = df.withColumn("__ratios", ratios.scalar())  # one array of BUCKETS doubles
     total = F.aggregate("__grams", F.lit(0.0), lambda s, g: s + F.get(F.col("__ratios"), g))
     df = df.withColumn("score", F.when(F.size("__grams") > 0, total / F.size("__grams")).otherwise(F.lit(0.0))).drop("__grams", "__ratios")
     df = df.withColumn("base_failed", (F.col("n_words") < 10) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 20))
