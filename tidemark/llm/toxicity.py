@@ -2,7 +2,8 @@
 
 Texts are folded before matching: compatibility forms, case, look-alike letters
 of other scripts, and digits and signs that stand for letters. 1, l and i fold
-to one letter, as 1 stands for either. The lexicon is a short list of
+to one letter, as 1 stands for either. Signs beside letters are matched both as
+letters ("$tupid", "a$$hole") and as signs ("@idiot"). The lexicon is a short list of
 seeds and what is learned from labelled rows: words, and beginnings of words where no single word stands for them, that
 toxic texts have far oftener than others; a term's weight is the log ratio of its rates. A
 match counts at the beginning of a word (and, for whole words, up to its end)
@@ -16,8 +17,8 @@ Arrow batches, without a shuffle; the lexicon has at most ``max_terms`` terms.
 Defined cases: null and empty texts score as texts without a match; repeated
 rows are scored each; rows with a null id or label teach nothing; several
 labels for one id count as toxic if one does; with no toxic or no other
-labelled row the lexicon is empty and every score is 0; texts without a match always
-score below 0.5; empty tables give empty results.
+labelled row the lexicon is that of the seeds, with a fixed middle; texts without
+a match always score below 0.5; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -73,18 +74,37 @@ DEFAULT_MIDDLE = math.log1p(1000 * SEED_WEIGHT / 500)
 EXCEPTIONS = ("trash can", "trash bin", "trash bag", "take out the trash", "clown fish", "class clown", "pathetic fallacy", "pond scum")
 
 _FOLD = str.maketrans({ord(c): to for to, group in HOMOGLYPHS.items() for c in group} | {ord(a): b for a, b in SUBSTITUTES.items()} | {ord("l"): "i"} | {ord(c): None for c in UNSEEN})
-_SIGN = re.compile(r"(?<=[^\W_])[@$€!|](?=[^\W_])")
+_SIGNS = re.compile(r"[@$€!|]+")
 _WORD = re.compile(r"[^\W\d_]+")
 
 
+def _lettered(m: re.Match) -> str:
+    """A run of signs as letters: all of it before a letter or digit; after one, up to a "!" or "|"."""
+    run, text = m[0], m.string
+    if m.end() < len(text) and text[m.end()].isalnum():
+        n = len(run)
+    elif m.start() and text[m.start() - 1].isalnum():
+        n = len(run) - len(run.lstrip("@$€"))
+    else:
+        n = 0
+    return "".join(SIGNS[c] for c in run[:n]) + run[n:]
+
+
 def fold(text: str) -> str:
-    """``text`` as it is matched; white space stays where it is."""
+    """``text`` as it is matched, signs as letters; white space stays where it is."""
+    return folds(text)[-1]
+
+
+def folds(text: str) -> list[str]:
+    """``text`` folded with signs as signs and, where that is another text, with signs as letters; both are of one length."""
     if not text.isascii():
         text = unicodedata.normalize("NFKC", text)
     text = text.lower()
+    out = [text]
     if any(s in text for s in SIGNS):
-        text = _SIGN.sub(lambda m: SIGNS[m[0]], text)
-    return text.translate(_FOLD)
+        lettered = _SIGNS.sub(_lettered, text)
+        out += [lettered] * (lettered != text)
+    return [x.translate(_FOLD) for x in out]
 
 
 @dataclass(frozen=True)
@@ -117,18 +137,19 @@ class Matcher:
         if self.any:
             self.automaton.make_automaton()
 
-    def matches(self, folded: str) -> list[tuple[int, int, float]]:
-        """(start, end, weight) of each counted match."""
+    def matches(self, folded: list[str]) -> list[tuple[int, int, float]]:
+        """(start, end, weight) of each counted match in any of a text's folds."""
         if not self.any:
             return []
         terms, spared = [], []
-        for last, entries in self.automaton.iter(folded):
-            end = last + 1
-            for size, whole, weight in entries:
-                start = end - size
-                if start and folded[start - 1].isalnum() or whole and end < len(folded) and folded[end].isalnum():
-                    continue
-                (spared if weight is None else terms).append((start, end, weight))
+        for own in folded:
+            for last, entries in self.automaton.iter(own):
+                end = last + 1
+                for size, whole, weight in entries:
+                    start = end - size
+                    if start and own[start - 1].isalnum() or whole and end < len(own) and own[end].isalnum():
+                        continue
+                    (spared if weight is None else terms).append((start, end, weight))
         if spared:
             terms = [t for t in terms if not any(a <= t[0] and t[1] <= b for a, b, _ in spared)]
         best: dict[int, tuple[int, int, float]] = {}  # of those that begin at one place the weightiest
@@ -139,8 +160,8 @@ class Matcher:
 
     def strength(self, text: str) -> tuple[float, int, int]:
         """log(1 + weight for each 1,000 words), number of matches, number of words."""
-        folded = fold(text)
-        words = len(folded.split())
+        folded = folds(text)
+        words = len(folded[0].split())
         found = self.matches(folded)
         return math.log1p(1000 * sum(t[2] for t in found) / max(words, 20)), len(found), words
 
