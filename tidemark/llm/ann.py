@@ -3,11 +3,11 @@
 A vector's direction is coded as a sum of one full-dimensional codeword from
 each of several codebooks; its norm is stored. Codebooks start as residual
 k-means and are refined by least squares; codes are found by beam search.
-Queries are scored against codes by lookup tables, and the best candidates of
-each block of the index are reranked exactly, in double precision, on the
-original vectors that the block holds: first the ``rerank`` best, then all
-others that could still reach the k-th of them. What a vector could reach is
-its approximate score and ``SPREAD`` deviations of its coding error, whose
+Queries are scored against codes by lookup tables, and the best candidates are
+reranked exactly, in double precision, on the original vectors: of the first
+block of the index that a query meets the ``rerank`` best, and of every block
+all that could still be among the k best found so far. What a vector could reach
+is its approximate score and ``SPREAD`` deviations of its coding error, whose
 length is stored with its norm; so among thousands of nearly equal vectors, as
 many as need be are reranked, without a cap.
 
@@ -15,13 +15,16 @@ Codebooks are fitted on a bounded sample (``max_train`` distinct vectors, by
 hash); every vector is indexed. Equal vectors are indexed once, with as many of
 their smallest ids as a result can need, so a vector that a third of the rows
 share costs no more than another. Queries (a stated set of rows) meet the index
-block by block; each pair of blocks gives at most k rows a query, and a window
-keeps the k best of those.
+block by block: a task holds a block of queries and reads a part of the index,
+nothing is copied by a shuffle, and each part gives at most k rows a query, of
+which a window keeps the k best. Every code is looked at: vectors without
+clusters, like those of the test tables, have their neighbours in most cells of
+any coarse partition (README), so that inverted lists would lose what they save.
 
 Defined cases: vectors that are null, empty, zero, or hold nulls or non-finite
 components take no part, nor do those of a length other than the most frequent
-one; null ids take no part; repeated rows with one id count once; ties go to
-the smaller id; fewer candidates than k give all of them; an empty table gives
+one; null ids take no part; of the rows that repeat an id the one of the least
+vector counts; ties go to the smaller id; fewer candidates than k give all of them; an empty table gives
 an empty result.
 """
 
@@ -126,9 +129,10 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
     rows = rows.where(F.size("v") == d)
     # k + 1 ids of equal vectors are enough: a query is itself one of them at most
     first = F.row_number().over(Window.partitionBy("v").orderBy("id"))
-    distinct = cut(rows.dropDuplicates(["v", "id"]).withColumn("n", first).where(F.col("n") <= k + 1).groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids")))
+    rows = cut(rows.groupBy("id").agg(F.min("v").alias("v"), F.max("q").alias("q")))
+    distinct = cut(rows.withColumn("n", first).where(F.col("n") <= k + 1).groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids")))
     sample = distinct.select("v").orderBy(F.xxhash64("v")).limit(max_train)
-    x = np.array([r["v"] for r in sample.collect()], dtype=np.float64).reshape(-1, d)
+    x = sample.toArrow()["v"].combine_chunks().flatten().to_numpy().reshape(-1, d)  # max_train vectors at most
     codebooks = train(x / np.linalg.norm(x, axis=1, keepdims=True), books, words)
 
     def index_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -166,29 +170,32 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
         if held:
             yield join()
 
-    def near_ones(r, q: np.ndarray, qid: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """For each query of a block: ids and scores of its best in a block of the index."""
+    def near_ones(r, q: np.ndarray, qid: np.ndarray, floor: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each query of a block: ids and scores of its best in a block of the index, those below ``floor`` left out."""
         codes = np.frombuffer(r.codes, dtype=np.uint16).reshape(-1, codebooks.shape[0]).astype(np.int64)
         v = np.frombuffer(r.vectors).reshape(-1, d)
         ids = np.frombuffer(r.ids, dtype=np.int64).reshape(-1, k + 1)
         counts = np.frombuffer(r.counts, dtype=np.int64)
-        slack = np.frombuffer(r.errors) * SPREAD
+        slack = (np.frombuffer(r.errors) * SPREAD).astype(np.float32)
         n = len(v)
         # lookup tables: a query's inner product with each codeword; a vector's score is its norm times a sum of lookups
         about = np.zeros((len(q), n), dtype=np.float32)
         for b in range(codebooks.shape[0]):
             about += (q @ codebooks[b].T).astype(np.float32)[:, codes[:, b]]
         about *= np.frombuffer(r.norms).astype(np.float32)
-        width = min(max(rerank, k + 1), n)
-        top = np.argpartition(-about, width - 1, axis=1)[:, :width]
-        exact = np.einsum("qrd,qd->qr", v[top], q)
-        # the query itself may be among the best: one more than k
-        place = width - 1 - min(k, width - 1)
-        least = np.partition(exact, place, axis=1)[:, place]
+        least = floor.copy()
+        new = np.flatnonzero(np.isneginf(floor))
+        if len(new):
+            width = min(max(rerank, k + 1), n)
+            top = np.argpartition(-about[new], width - 1, axis=1)[:, :width]
+            exact = np.einsum("qrd,qd->qr", v[top], q[new])
+            # the query itself may be among the best: one more than k
+            place = width - 1 - min(k, width - 1)
+            least[new] = np.partition(exact, place, axis=1)[:, place] if width > k else -np.inf
         lengths = np.linalg.norm(q, axis=1)
+        reach = about + slack * lengths[:, None].astype(np.float32)
         for i in range(len(q)):
-            near = np.flatnonzero(about[i] + slack * lengths[i] >= least[i] - 1e-4 * abs(least[i]))
-            near = np.union1d(near, top[i])
+            near = np.flatnonzero(reach[i] >= least[i] - 1e-4 * abs(least[i])) if np.isfinite(least[i]) else np.arange(n)
             scores = v[near] @ q[i]
             if len(near) > k + 1:
                 best = scores >= np.partition(scores, len(scores) - 1 - k)[len(scores) - 1 - k]
@@ -216,7 +223,9 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
                     if best:
                         yield frame()
                     asking, best = r.query_ids, []
-                found = near_ones(r, np.frombuffer(r.queries).reshape(-1, d), np.frombuffer(asking, dtype=np.int64))
+                qid = np.frombuffer(asking, dtype=np.int64)
+                floor = np.array([x[1][k - 1] if len(x[1]) >= k else -np.inf for x in best]) if best else np.full(len(qid), -np.inf)
+                found = near_ones(r, np.frombuffer(r.queries).reshape(-1, d), qid, floor)
                 best = [best_of(np.concatenate([x[0], y[0]]), np.concatenate([x[1], y[1]])) for x, y in zip(best, found, strict=True)] if best else list(found)
         if best:
             yield frame()
@@ -224,7 +233,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
     schema = ", ".join(f"{x} binary" for x in FIELDS)
     parts = -(-distinct.count() // PART)
     index = cut(distinct.mapInPandas(index_blocks, schema).repartition(parts).mapInPandas(compact, schema))
-    asked = cut(rows.where("q").dropDuplicates(["id"]).select("id", "v").mapInPandas(query_blocks, "query_ids binary, queries binary"))
+    asked = cut(rows.where("q").select("id", "v").mapInPandas(query_blocks, "query_ids binary, queries binary"))
     asked = asked.repartition(max(1, min(asked.count(), MAX_QUERY_PARTS)))  # a block of queries a task, as far as that goes
     found = asked.crossJoin(index).mapInPandas(meet, "query_id bigint, vec_id bigint, score double")
     best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
