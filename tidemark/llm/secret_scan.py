@@ -7,9 +7,13 @@ have them. Postings are intersected for each clause; only texts that satisfy a
 clause of a rule are verified against its expression. Rules without mandatory
 trigrams (a run of hex digits) are verified on every text.
 
-All steps are DataFrame functions. The postings are dealt out by text id, so
-no trigram and no rule gathers its rows in one task, however common it is; the
-rules' clauses are the only thing broadcast, and they do not grow with the data.
+All steps are DataFrame functions. Postings are gathered by text id and clause,
+as bits and before they are shuffled, so that neither a common trigram nor an id
+that many rows share (null, say) gathers more than one row a task. Candidates
+are pairs of numbers, a hash of the id and the bits of its rules; as long as
+there are at most ``MAX_BROADCAST_ROWS`` of them they are broadcast, and no text
+is shuffled. Beyond that texts and candidates meet by a join on the hash, in
+which AQE splits an id that many rows share.
 
 Positions are code points, ends exclusive. A rule's matches are the leftmost
 non-overlapping ones of its expression; those whose value is too short are
@@ -33,13 +37,17 @@ from re import _parser as sre_parse
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, literal_rows, text_of, with_out
+from .common import cut, fresh, literal_rows, text_of, with_out
 
 # Bounds on the sets of strings and clauses that a query is derived through. Beyond
 # them a query gets weaker (more candidates), never wrong.
 MAX_STRINGS = 64
 MAX_CLASS = 6
 MAX_CLAUSES = 64
+#: Candidates (two numbers each) that may be broadcast.
+MAX_BROADCAST_ROWS = 1_000_000
+#: Bits in a number that stands for a set; larger sets share bits, which gives more candidates, not fewer.
+BITS = 62
 
 
 @dataclass(frozen=True)
@@ -162,23 +170,21 @@ def postings(docs: DataFrame, trigrams: Sequence[str], id_col: str = "doc_id", t
     return there.select(F.explode_outer(found).alias("trigram"), F.col(id_col)).where("trigram is not null")
 
 
+def _bit(number: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(number, F.lit(BITS)).cast("int"))
+
+
 def candidates(docs: DataFrame, rules: Sequence[Rule], id_col: str = "doc_id", text_col: str = "text") -> DataFrame | None:
-    """Rows (__id, __rules): for each id that satisfies a clause of some indexed rule, the numbers of those rules. None if no rule is indexed."""
+    """Rows (key, rules): for the hash of each id that satisfies a clause of some indexed rule, the bits of those rules. None if no rule is indexed."""
     clauses = [(n, sorted(c)) for n, r in enumerate(rules) for c in sorted(map(sorted, trigram_query(r.pattern) or ()))]
     if not clauses:
         return None
-    spark = docs.sparkSession
-    rows = [(n, k, len(c), t) for k, (n, c) in enumerate(clauses) for t in c]
-    wanted = literal_rows(spark, "rule int, clause int, size int, trigram string", rows)
-    index = postings(docs, sorted({t for *_, t in rows}), id_col, text_col).withColumnRenamed(id_col, "__id")
-    full = (
-        index.repartition("__id")
-        .join(F.broadcast(wanted), "trigram")
-        .groupBy("__id", "rule", "clause", "size")
-        .agg(F.collect_set("trigram").alias("has"))  # at most `size` of them
-        .where(F.size("has") == F.col("size"))
-    )
-    return full.groupBy("__id").agg(F.collect_set("rule").alias("__rules"))
+    # a clause's trigrams by their places in it; its full set of bits is what an id must have
+    rows = [(n, k, sum(1 << i for i in {i % BITS for i in range(len(c))}), i, t) for k, (n, c) in enumerate(clauses) for i, t in enumerate(c)]
+    wanted = literal_rows(docs.sparkSession, "rule int, clause int, full bigint, place int, trigram string", rows)
+    index = postings(docs, sorted({t for *_, t in rows}), id_col, text_col).select(F.xxhash64(F.col(id_col)).alias("key"), "trigram")
+    found = index.join(F.broadcast(wanted), "trigram").groupBy("key", "clause", "rule", "full").agg(F.bit_or(_bit(F.col("place"))).alias("has"))
+    return found.where("has = full").groupBy("key").agg(F.bit_or(_bit(F.col("rule"))).alias("rules"))
 
 
 def rule_spans(text: Column, rule: Rule, number: int) -> Column:
@@ -205,19 +211,19 @@ def scan(docs: DataFrame, rules: Sequence[Rule] = RULES, id_col: str = "doc_id",
     for r in rules:
         re.compile(r.pattern)
     found = candidates(docs, rules, id_col, text_col)
-    cand, text, *each = fresh(docs, "cand", "text", *(f"rule{n}_" for n in range(len(rules))))
+    cand, key, text, *each = fresh(docs, "cand", "key", "text", *(f"rule{n}_" for n in range(len(rules))))
     df = docs
     if found is not None:
-        key, found_key = fresh(docs, "key", "found")
-        found = found.select(F.col("__id").alias(found_key), F.col("__rules").alias(cand))
-        df = docs.withColumn(key, F.col(id_col)).join(found, F.col(key).eqNullSafe(F.col(found_key)), "left").drop(key, found_key)
+        found = cut(found.select(F.col("key").alias(key), F.col("rules").alias(cand)))
+        few = found.count() <= MAX_BROADCAST_ROWS
+        df = docs.withColumn(key, F.xxhash64(F.col(id_col))).join(F.broadcast(found) if few else found.hint("merge"), key, "left")
     df = df.withColumn(text, text_of(text_col))
     none = F.array().cast("array<struct<start:int,rule:int,end:int,kind:string>>")
     spans = {}
     for n, rule in enumerate(rules):
         full = trigram_query(rule.pattern) is None
         verified = rule_spans(F.col(text), rule, n)
-        spans[each[n]] = verified if full else F.when(F.array_contains(F.coalesce(F.col(cand), F.array().cast("array<int>")), F.lit(n)), verified).otherwise(none)
+        spans[each[n]] = verified if full else F.when(F.coalesce(F.col(cand), F.lit(0)).bitwiseAND(1 << n % BITS) != 0, verified).otherwise(none)
     df = df.withColumns(spans)
     return df.withColumn(out, F.sort_array(F.concat(*each))).select(*with_out(docs, out))
 
