@@ -57,46 +57,46 @@ SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_cha
 
 
 def mixing(targets: dict, share: float, documents: str = "documents", name: str = "mix") -> str:
-    """Raking as one chain of window sums; the calibration by the cells in the order of their weights."""
-    from .mixing import DRAW_BITS, SWEEPS
+    """Raking as one chain of window sums, of as many sweeps as there may be."""
+    from .mixing import DRAW_BITS, MAX_SWEEPS
 
     words = "len(list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> ''))"
+    drawn = f"({share!r}::DOUBLE * (SELECT sum(tokens) FROM c))"
     ctes = [
         f"d AS (SELECT doc_id, coalesce(CAST(source AS VARCHAR), '') AS source, coalesce(CAST(lang AS VARCHAR), '') AS lang, {words} AS tokens, "
         "CASE WHEN contains(coalesce(text, ''), ' | ') THEN 'table' WHEN regexp_matches(coalesce(text, ''), '[#$%&*!]{2}') THEN 'noise' WHEN length(coalesce(text, '')) < 600 THEN 'note' ELSE 'prose' END AS topic "
         f"FROM {documents})",
         "c AS MATERIALIZED (SELECT source, lang, topic, CAST(sum(tokens) AS DOUBLE) AS tokens FROM d GROUP BY ALL)",
-        "total AS (SELECT sum(tokens) AS n FROM c)",
     ]
     for dim, target in targets.items():
         now = f"(SELECT {dim}, sum(tokens) AS tokens FROM c GROUP BY {dim} HAVING sum(tokens) > 0)"
         if isinstance(target, dict):
             known = "CASE " + dim + " " + " ".join(f"WHEN '{v}' THEN {float(s)!r}::DOUBLE" for v, s in target.items()) + " END"
             left = max(0.0, 1.0 - sum(target.values()))
-            raw = f"SELECT {dim}, coalesce({known}, tokens / sum(CASE WHEN {known} IS NULL THEN tokens ELSE 0 END) OVER () * {left!r}::DOUBLE) AS raw FROM {now}"
+            raw = f"SELECT {dim}, tokens, coalesce({known}, tokens / sum(CASE WHEN {known} IS NULL THEN tokens ELSE 0 END) OVER () * {left!r}::DOUBLE) AS raw FROM {now}"
         else:
-            raw = f"SELECT {dim}, pow(tokens, {float(target)!r}::DOUBLE) AS raw FROM {now}"
-        ctes.append(f"t_{dim} AS MATERIALIZED (SELECT {dim}, raw / sum(raw) OVER () AS share FROM ({raw}))")
-    last, n = "c0", 0
-    ctes.append("c0 AS (SELECT *, 1.0::DOUBLE AS weight FROM c)")
-    for _ in range(SWEEPS):
-        for dim in targets:
+            raw = f"SELECT {dim}, tokens, pow(tokens, {float(target)!r}::DOUBLE) AS raw FROM {now}"
+        # a value gives what it has at most; the others rise to the highest level that is reached as values run out
+        ctes += [
+            f"s_{dim} AS MATERIALIZED (SELECT {dim}, tokens, raw / sum(raw) OVER () AS share FROM ({raw}))",
+            f"l_{dim} AS MATERIALIZED (SELECT *, ({drawn} - coalesce(sum(tokens) OVER (ORDER BY tokens / share, {dim} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) "
+            f"/ sum(share) OVER (ORDER BY tokens / share, {dim} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM s_{dim} WHERE share > 0)",
+            f"t_{dim} AS MATERIALIZED (SELECT {dim}, least(tokens, share * (SELECT max(level) FROM l_{dim})) AS mass FROM l_{dim})",
+        ]
+    joined = " ".join(f"LEFT JOIN t_{d} USING ({d})" for d in targets)
+    ctes.append(f"r0 AS MATERIALIZED (SELECT c.*, {', '.join(f't_{d}.mass AS mass_{d}' for d in targets)}, {share!r}::DOUBLE AS p FROM c {joined})")
+    n = 0
+    for _ in range(MAX_SWEEPS):
+        for d in targets:
             n += 1
-            mass = f"sum(weight * tokens) OVER (PARTITION BY p.{dim})"
+            sums = f"sum(p * tokens) OVER (PARTITION BY {d}) AS n, sum(CASE WHEN p >= 1 THEN tokens ELSE 0 END) OVER (PARTITION BY {d}) AS f"
             ctes.append(
-                f"c{n} AS MATERIALIZED (SELECT p.source, p.lang, p.topic, p.tokens, weight * CASE WHEN share IS NOT NULL AND {mass} > 0 THEN share * (SELECT n FROM total) / {mass} ELSE 1 END AS weight "
-                f"FROM {last} p LEFT JOIN t_{dim} t ON p.{dim} = t.{dim})"
+                f"r{n} AS MATERIALIZED (SELECT * EXCLUDE (n, f) REPLACE (CASE WHEN mass_{d} IS NULL OR n <= 0 THEN p WHEN n > mass_{d} THEN p * mass_{d} / n WHEN p < 1 AND n > f THEN least(1.0, p * (mass_{d} - f) / (n - f)) ELSE p END AS p) "
+                f"FROM (SELECT *, {sums} FROM r{n - 1}))"
             )
-            last = f"c{n}"
-    ctes += [
-        f"r AS MATERIALIZED (SELECT source, lang, topic, tokens, round(weight, 9) AS weight FROM {last})",
-        # cells of greater weight are whole, the cells from this one on share the rest
-        f"o AS (SELECT *, coalesce(sum(tokens) OVER (ORDER BY weight DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - sum(tokens) OVER (PARTITION BY weight), 0) AS whole, sum(weight * tokens) OVER (ORDER BY weight RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS rest FROM r)",
-        f"k AS (SELECT max(CASE WHEN rest > 0 AND weight * ({share!r}::DOUBLE * (SELECT n FROM total) - whole) / rest < 1 THEN ({share!r}::DOUBLE * (SELECT n FROM total) - whole) / rest END) AS c, max(1 / weight) AS all_of FROM o WHERE weight > 0)",
-        "p AS (SELECT source, lang, topic, weight, round(least(1.0, weight * (SELECT coalesce(c, all_of) FROM k)), 9) AS probability FROM r)",
-    ]
+    ctes.append(f"p AS (SELECT source, lang, topic, round(p, 9) AS expected FROM r{n})")
     draw = f"CAST('0x' || substr(md5('{name}:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, {DRAW_BITS // 4}) AS BIGINT) / {float(1 << DRAW_BITS)!r}::DOUBLE"
     return (
-        "WITH " + ",\n".join(ctes) + "\nSELECT d.doc_id, d.source, d.lang, d.topic, d.tokens AS n_tokens, round(p.weight, 6) AS weight, round(p.probability, 6) AS probability, "
-        f"{draw} < p.probability AS sampled FROM d JOIN p ON d.source = p.source AND d.lang = p.lang AND d.topic = p.topic"
+        "WITH " + ",\n".join(ctes) + f"\nSELECT d.doc_id, d.source, d.lang, d.topic, d.tokens AS n_tokens, round(p.expected / {share!r}::DOUBLE, 6) AS weight, round(p.expected, 6) AS probability, "
+        f"{draw} < p.expected AS sampled FROM d JOIN p ON d.source = p.source AND d.lang = p.lang AND d.topic = p.topic"
     )
