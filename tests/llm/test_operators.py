@@ -392,13 +392,29 @@ def test_jaccard_join(spark, docs, odd, nothing):
 
 def test_blocks_of_a_family(spark, monkeypatch):
     """Buckets and families that are split into many blocks give the same links."""
-    monkeypatch.setattr(jaccard_join, "BUCKET_BLOCK", 16)
-    monkeypatch.setattr(jaccard_join, "FAMILY_BLOCK", 16)
+    for name, value in (("BUCKET_BLOCK", 40), ("FEW", 4), ("FAMILY_BLOCK", 16), ("MAX_FAMILY_BLOCK", 16)):
+        monkeypatch.setattr(jaccard_join, name, value)
     rows = list(enumerate(near_copies(120)))
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert rows_of(jaccard_join.jaccard_join(df), "doc_id", "class_id", "n_links") == brute_classes(rows)
 
 
+def test_connected_as_all_pairs(monkeypatch):
+    """Groups found by one of each are those of all surviving pairs, within a block and across two."""
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 256, (4, jaccard_join.HASHES))
+    sigs = np.stack([np.where(rng.random(jaccard_join.HASHES) < rng.uniform(0, 0.35), rng.integers(0, 256, jaccard_join.HASHES), base[rng.integers(0, 4)]) for _ in range(200)]).astype(np.uint8)
+    block, nodes, least = rng.integers(0, 2, 200), np.arange(200), jaccard_join.least_matches()
+    for first, second in ((0, 0), (0, 1)):
+        own = np.flatnonzero((block == first) | (block == second))
+        i, j = jaccard_join.block_pairs(block[own], first, second)
+        left = jaccard_join.surviving(sigs[own], i, j, least)
+        want = jaccard_join.forest(nodes[own], i[left], j[left])
+        got = jaccard_join.forest(nodes[own], *jaccard_join.connected(sigs[own], block[own], first, second, least))
+        assert 0 < len(left) < len(i)
+        assert [list(x) for x in got] == [list(x) for x in want]
+
+
 def test_keep_one(spark, odd, nothing):
     kept = jaccard_join.keep_one(odd)
     assert kept.columns == odd.columns

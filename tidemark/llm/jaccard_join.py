@@ -15,7 +15,13 @@ least ``threshold``.
 
 No pair is ever a row: a bucket or family is split by hash into blocks of
 bounded size, pairs of blocks meet in one task each, and a task gives link
-counts and a spanning forest. A pair at the threshold shares no band with a
+counts and a spanning forest. A bucket only has to tell what hangs together, so
+a text is compared with one of each group that has been found first, and with
+the others only where that leaves groups apart: a bucket of near copies takes
+time in proportion to its size. The number of links of each text in a family
+needs all its pairs; blocks grow with the family, so that of m texts each is
+copied at most 32 times up to m = 32,768, and m / 1,024 times beyond (or as
+often as blocks of ``BLOCK_WORDS`` words need). A pair at the threshold shares no band with a
 probability of 6e-5, and of these most meet in a family all the same; nothing
 else is left out.
 
@@ -44,8 +50,11 @@ BANDS, ROWS = 32, 6
 HASHES = BANDS * ROWS
 #: MinHash values that are compared before a pair is judged again.
 STEP = 32
-#: Members of a block of a bucket, and of a family.
-BUCKET_BLOCK, FAMILY_BLOCK = 512, 256
+#: Members of a block of a bucket; of a family, at least and at most, words of such a block, and blocks that a family is split into before they grow.
+BUCKET_BLOCK = 2048
+FAMILY_BLOCK, MAX_FAMILY_BLOCK, BLOCK_WORDS, FAMILY_BLOCKS = 256, 1024, 1 << 21, 32
+#: Members of a bucket up to which all pairs are compared at once.
+FEW = 32
 #: Rows that may be broadcast; beyond them the join shuffles.
 MAX_BROADCAST_ROWS = 200_000
 
@@ -94,7 +103,7 @@ def minhashes(words: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, id, words) to (key, id, sig)."""
+    """(key, id, words) to (key, id, sig, and n, the number of words)."""
     for batch in batches:
         words = batch.column("words")
         offsets = words.offsets.to_numpy()
@@ -108,7 +117,7 @@ def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = end
         flat = np.concatenate(sigs) if sigs else np.zeros((0, HASHES), dtype=np.uint8)
         sig = pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer((np.arange(len(lengths) + 1) * HASHES).astype(np.int32)), pa.py_buffer(flat.tobytes())])
-        yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("id"), sig], names=["key", "id", "sig"])
+        yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("id"), sig, pa.array(lengths, pa.int64())], names=["key", "id", "sig", "n"])
 
 
 def least_matches(threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> dict[int, int]:
@@ -169,6 +178,31 @@ def forest(nodes: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray,
     return nodes[moved], label[moved]
 
 
+def connected(sigs: np.ndarray, block: np.ndarray, first: int, second: int, least: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of places that connect what all surviving pairs of a pair of blocks connect."""
+    if len(block) <= FEW:
+        i, j = block_pairs(block, first, second)
+        left = surviving(sigs, i, j, least)
+        return i[left], j[left]
+    group = np.arange(len(block))  # the least place that each place hangs together with
+    pivots, others = np.flatnonzero(block == first), np.flatnonzero(block == second)
+    out: list[tuple[np.ndarray, np.ndarray]] = []
+    for p in pivots:
+        apart = others[(group[others] != group[p]) & ((others > p) | (first != second))]
+        if not len(apart):
+            continue
+        one_each = apart[np.unique(group[apart], return_index=True)[1]]
+        for rest in (one_each, None):
+            at = apart[(group[apart] != group[p]) & ~np.isin(apart, one_each)] if rest is None else rest
+            hits = at[surviving(sigs, np.full(len(at), p), at, least)]
+            if len(hits):
+                out.append((np.full(len(hits), p), hits))
+                joined = np.unique(np.append(group[hits], group[p]))
+                group[np.isin(group, joined)] = joined[0]
+    none = np.zeros(0, dtype=np.int64)
+    return np.concatenate([x[0] for x in out] or [none]), np.concatenate([x[1] for x in out] or [none])
+
+
 def groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
     """Batches cut at the ends of groups, with the places where groups begin (and the end). Rows come sorted by ``keys``."""
     held: list[pd.DataFrame] = []
@@ -196,12 +230,12 @@ def _cut_up(parts: list[pd.DataFrame], keys: list[str]) -> tuple[pd.DataFrame, n
     return df, np.concatenate([[0], np.flatnonzero((k[1:] != k[:-1]).any(1)) + 1, [len(df)]])
 
 
-def in_block_pairs(df: DataFrame, key: str, size: str, node: str, block: int) -> DataFrame:
-    """Rows dealt out to pairs of blocks (key, first, second), sorted so within partitions; ``block`` tells a row's own block."""
-    n = F.ceil(F.col(size) / block).cast("int")
+def in_block_pairs(df: DataFrame, key: str, blocks: Column, node: str) -> DataFrame:
+    """Rows dealt out to pairs of ``blocks`` blocks (key, first, second), sorted so within partitions; ``block`` tells a row's own block."""
+    n = blocks.cast("int")
     own = F.pmod(F.xxhash64(node), n).cast("int")
-    dealt = df.withColumn("blocks", n).withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.withColumns({"first": F.least("block", "other"), "second": F.greatest("block", "other")}).drop("other", "blocks")
+    dealt = df.withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0), n - 1)))
+    dealt = dealt.withColumns({"first": F.least("block", "other"), "second": F.greatest("block", "other")}).drop("other")
     return dealt.repartition(key, "first", "second").sortWithinPartitions(key, "first", "second", node)
 
 
@@ -223,12 +257,11 @@ def family_edges(nodes: DataFrame, threshold: float, tolerance: float) -> DataFr
             left = two[surviving(sigs, two, two + 1, least)]
             out = [(np.maximum(node[left], node[left + 1]), np.minimum(node[left], node[left + 1]))]
             for a, b in zip(bounds[:-1][sizes > 2], bounds[1:][sizes > 2], strict=True):
-                i, j = block_pairs(block[a:b], first[a], second[a])
-                kept = surviving(sigs[a:b], i, j, least)
-                out.append(forest(node[a:b], i[kept], j[kept]))
+                i, j = connected(sigs[a:b], block[a:b], first[a], second[a], least)
+                out.append(forest(node[a:b], i, j))
             yield pd.DataFrame({"u": np.concatenate([x[0] for x in out]), "v": np.concatenate([x[1] for x in out])})
 
-    dealt = in_block_pairs(members, "bucket", "size", "node", BUCKET_BLOCK)
+    dealt = in_block_pairs(members, "bucket", F.ceil(F.col("size") / BUCKET_BLOCK), "node")
     return dealt.select("bucket", "first", "second", "block", "node", "sig").mapInPandas(compare, "u bigint, v bigint")
 
 
@@ -269,22 +302,26 @@ def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), text_of(text_col).alias("text")).select("id", F.md5(F.col("text").cast("binary")).alias("key"), "text")
-    signed = rows.select("key", "id", word_hashes(F.col("text")).alias("words")).mapInArrow(signatures, "key string, id bigint, sig binary")
-    nodes = signed.groupBy("key").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("sig").alias("sig"))
+    signed = rows.select("key", "id", word_hashes(F.col("text")).alias("words")).mapInArrow(signatures, "key string, id bigint, sig binary, n bigint")
+    nodes = signed.groupBy("key").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("sig").alias("sig"), F.first("n").alias("n"))
     nodes = cut(nodes.withColumn("node", F.monotonically_increasing_id()))
     families = components(family_edges(nodes, threshold, tolerance))
-    sizes = families.groupBy("root").agg(F.count("*").alias("size"))
-    wanted = cut(families.join(sizes, "root").join(nodes, "node").select("node", "root", "size", "key", "id", "copies", "sig"))
-    few = wanted.select("node", "root", "size", "key", "id", "copies")
+    members = cut(families.join(nodes, "node").select("node", "root", "key", "id", "copies", "n"))
+    sizes = members.groupBy("root").agg(F.count("*").alias("size"), F.sum("n").alias("n_words"))
+    block = F.least(F.lit(MAX_FAMILY_BLOCK), F.greatest(F.lit(FAMILY_BLOCK), F.col("size") / FAMILY_BLOCKS))
+    sizes = sizes.select("root", F.greatest(F.ceil(F.col("size") / block), F.ceil(F.col("n_words") / BLOCK_WORDS), F.lit(1)).alias("blocks"))
+    wanted = cut(members.join(sizes, "root").drop("n"))
+    few = wanted
     few = F.broadcast(few) if wanted.count() <= MAX_BROADCAST_ROWS else few
-    texts = rows.withColumnRenamed("id", "own").join(few, "key").where(F.col("own").eqNullSafe(F.col("id"))).select("node", "root", "size", "copies", word_hashes(F.col("text")).alias("words"))
+    texts = rows.withColumnRenamed("id", "own").join(few, "key").where(F.col("own").eqNullSafe(F.col("id"))).select("node", "root", "blocks", "copies", word_hashes(F.col("text")).alias("words"))
+    texts = texts.groupBy("node", "root", "blocks", "copies").agg(F.first("words").alias("words"))  # rows may repeat an id and its text
     least = least_matches(threshold, tolerance)
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df, bounds in groups(batches, ["root", "first", "second"]):
             u, v, links = [], [], []
             for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-                part = df.iloc[a:b].drop_duplicates("node")
+                part = df.iloc[a:b]
                 node, copies = part["node"].to_numpy(), part["copies"].to_numpy()
                 words = list(part["words"])
                 sigs = minhashes(np.concatenate(words).view(np.uint64), np.array([len(w) for w in words]))
@@ -301,7 +338,7 @@ def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 links += [count[some], np.zeros(len(high))]
             yield pd.DataFrame({"u": np.concatenate(u), "v": np.concatenate(v), "links": np.concatenate(links).astype(np.int64)})
 
-    dealt = in_block_pairs(texts, "root", "size", "node", FAMILY_BLOCK)
+    dealt = in_block_pairs(texts, "root", F.col("blocks"), "node")
     found = cut(dealt.select("root", "first", "second", "block", "node", "copies", "words").mapInPandas(verify, "u bigint, v bigint, links bigint"))
     links = found.where("v = -1").groupBy(F.col("u").alias("node")).agg(F.sum("links").alias("links"))
     roots = components(found.where("v >= 0").select("u", "v"))
