@@ -33,6 +33,18 @@ _EPOCH = dt.datetime(1970, 1, 1)
 _NUMBER = re.compile(r"0|[1-9][0-9]{0,4}")
 
 
+def _floor_div(c: Column, n: int) -> Column:
+    """Whole numbers divided by ``n``, rounded down (SQL's div rounds towards zero)."""
+    return F.call_function("div", c - F.pmod(c, F.lit(n)), F.lit(n).cast("bigint"))
+
+
+def _moment_of(micros: Column) -> Column:
+    """Microseconds since the epoch as timestamp_ntz in UTC."""
+    day = 86_400 * 10**6
+    seconds = (F.pmod(micros, F.lit(day)).cast("decimal(18,0)") / 10**6).cast("decimal(18,6)")
+    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(_floor_div(micros, day).cast("int"), F.lit(0), F.lit(0), seconds)
+
+
 @dataclass(frozen=True)
 class Partition:
     """``start`` is inside, ``until`` is not (whole units since the epoch)."""
@@ -139,18 +151,31 @@ class TimePartition:
             at = out[-1].until
         return out
 
-    # --- Column expressions
+    # --- Column expressions, none of which depends on the session's time zone
 
     def timestamp(self, column: Column | None = None, integer: bool = False) -> Column:
-        """The column as timestamp_ntz in UTC; whole numbers (``integer``) are units since the epoch, floored to microseconds."""
+        """The column's instant as timestamp_ntz in UTC; whole numbers (``integer``) are units since the epoch, floored to microseconds."""
         c = F.col(f"`{self.column}`") if column is None else column
-        if not integer:
-            return c.cast("timestamp_ntz")
-        micros = {"second": lambda: c * 10**6, "millisecond": lambda: c * 1000, "microsecond": lambda: c, "nanosecond": lambda: F.floor(c / F.lit(1000).cast("decimal(4,0)")).cast("bigint")}[self.unit]()
-        return F.timestamp_micros(micros).cast("timestamp_ntz")
+        if integer:
+            return _moment_of({"second": lambda: c * 10**6, "millisecond": lambda: c * 1000, "microsecond": lambda: c, "nanosecond": lambda: _floor_div(c, 1000)}[self.unit]())
+        # a cast of a zoned timestamp would go through the session's zone; typeof() is known when the plan is made
+        return F.when(F.typeof(c) == "timestamp", _moment_of(F.unix_micros(c.cast("timestamp")))).otherwise(c.cast("timestamp_ntz"))
+
+    def encoded(self, ts: Column) -> Column:
+        """Whole units since the epoch, floored, of a timestamp_ntz column in UTC."""
+        seconds = F.unix_date(ts.cast("date")).cast("bigint") * 86_400 + F.hour(ts) * 3600 + F.minute(ts) * 60
+        micros = seconds * 10**6 + (F.extract(F.lit("SECOND"), ts) * 10**6).cast("bigint")
+        return micros * 1000 if self.unit == "nanosecond" else _floor_div(micros, 10**6 // _PER_SECOND[self.unit])
 
     def truncated(self, ts: Column) -> Column:
-        return F.date_trunc(self.granularity, ts).cast("timestamp_ntz")
+        """The partition's start, of a timestamp_ntz column."""
+        day = ts.cast("date")
+        if self.granularity in ("week", "month"):
+            return F.trunc(day, self.granularity).cast("timestamp_ntz")
+        start, zero = day.cast("timestamp_ntz"), F.lit(0)
+        if self.granularity == "day":
+            return start
+        return start + F.make_dt_interval(zero, F.hour(ts), F.minute(ts) if self.granularity == "minute" else zero)
 
     def until(self, ts: Column) -> Column:
         step = {"minute": "1 minute", "hour": "1 hour", "day": "1 day", "week": "7 days", "month": "1 month"}[self.granularity]
@@ -164,8 +189,8 @@ class TimePartition:
             "day": lambda: F.dayofmonth(ts),
             "hour": lambda: F.hour(ts),
             "minute": lambda: F.minute(ts),
-            "iso_year": lambda: F.extract(F.lit("YEAROFWEEK"), ts),
-            "week": lambda: F.weekofyear(ts),
+            "iso_year": lambda: F.extract(F.lit("YEAROFWEEK"), ts.cast("date")),
+            "week": lambda: F.weekofyear(ts.cast("date")),
         }
         return {s: part[s]().cast("int") for s in self.segments}
 
@@ -176,14 +201,12 @@ class TimePartition:
         """The partition's start from its path, as timestamp_ntz; null for what is no such path."""
         pattern = "^" + "/".join(f"{s}=(0|[1-9][0-9]*)" for s in self.segments) + "$"
         number = lambda i: F.regexp_extract(path, pattern, i).try_cast("int")
+        made = lambda *n: F.try_make_timestamp_ntz(F.when(n[0].between(1, 9999), n[0]), *n[1:], *[F.lit(1)] * (3 - len(n)), *[F.lit(0)] * (6 - max(3, len(n))))
         if self.granularity == "week":  # the Monday of the week with January 4th is the first
-            fourth = F.try_to_timestamp(F.format_string("%04d-01-04", number(1))).cast("timestamp_ntz")
-            start = (F.date_trunc("week", fourth).cast("timestamp_ntz") + F.make_dt_interval((number(2) - 1) * 7)).cast("timestamp_ntz")
+            monday = F.trunc(made(number(1), F.lit(1), F.lit(4)).cast("date"), "week").cast("timestamp_ntz")
+            start = monday + F.make_dt_interval(F.when(number(2) <= 53, (number(2) - 1) * 7))
         else:
-            n = len(self.segments)
-            numbers = [number(i + 1) for i in range(n)] + [F.lit(1)] * (3 - n if n < 3 else 0)
-            numbers += [F.lit(0)] * (5 - len(numbers))
-            start = F.try_to_timestamp(F.format_string("%04d-%02d-%02d %02d:%02d:00", *numbers)).cast("timestamp_ntz")
+            start = made(*(number(i + 1) for i in range(len(self.segments))))
         return F.when(path.rlike(pattern) & (self.path_column(start) == path), start)
 
     def condition(self, start, until) -> Column | None:

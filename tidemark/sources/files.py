@@ -8,6 +8,8 @@ Catalyst. Schemas come from the footer, which knows what Spark's reading loses
 from __future__ import annotations
 
 import decimal
+import queue
+import threading
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -102,26 +104,37 @@ class Stream:
         self._taken = True
         return self._pull()
 
+    def _tables(self) -> Iterator[pa.Table]:
+        return arrow_tables(self._df, self._schema, self._prefetch > 1)
+
+    def _chunks(self) -> Iterator[pa.Table]:
+        """The rows in tables of batch_size, the last one of what is left."""
+        held, waiting = [], 0
+        for table in self._tables():
+            held.append(table)
+            waiting += table.num_rows
+            while waiting >= self._size:
+                whole = pa.concat_tables(held)
+                held, waiting = [whole.slice(self._size)], waiting - self._size
+                yield whole.slice(0, self._size)
+        if waiting:
+            yield pa.concat_tables(held)
+
     def _pull(self) -> Iterator[Batch]:
         if self._closed:
             return
         _active["readers"] += 1
-        held, waiting = [], 0
+        chunks = self._chunks()
+        chunks = chunks if self._prefetch == 1 else ahead(chunks, self._prefetch)
         try:
             with guarded("read"):
-                for table in arrow_tables(self._df, self._schema, self._prefetch > 1):
-                    held.append(table)
-                    waiting += table.num_rows
-                    while waiting >= self._size:
-                        whole = pa.concat_tables(held)
-                        held, waiting = [whole.slice(self._size)], waiting - self._size
-                        yield self._made(whole.slice(0, self._size))
-                        if self._closed:
-                            return
-                if waiting:
-                    yield self._made(pa.concat_tables(held))
+                for table in chunks:
+                    yield self._made(table)
+                    if self._closed:
+                        return
             self._done = True
         finally:
+            chunks.close()
             _active["readers"] -= 1
             telemetry.emit(("read", "stats"), {"batches": self._batches, "rows": self._rows}, {"direction": "read"})
             if not self._done:
@@ -144,6 +157,46 @@ class Stream:
         return out | file_stats(*self._source) if self._source else out
 
 
+def ahead(items: Iterator, depth: int) -> Iterator:
+    """``items``, up to ``depth`` of them made by a thread before they are asked for."""
+    ready: queue.Queue = queue.Queue(depth)
+    stop = threading.Event()
+
+    def put(x) -> bool:
+        while not stop.is_set():
+            try:
+                ready.put(x, timeout=0.1)
+                return True
+            except queue.Full:
+                pass
+        return False
+
+    def fill() -> None:
+        try:
+            for x in items:
+                if not put((x, None)):
+                    return
+            put((None, StopIteration()))
+        except BaseException as e:  # noqa: BLE001  raised again where it is asked for
+            put((None, e))
+        finally:
+            items.close()
+
+    thread = threading.Thread(target=fill, daemon=True)
+    thread.start()
+    try:
+        while True:
+            x, error = ready.get()
+            if isinstance(error, StopIteration):
+                return
+            if error is not None:
+                raise error
+            yield x
+    finally:
+        stop.set()
+        thread.join(timeout=60)
+
+
 def arrow_tables(df: DataFrame, own: Schema, prefetch: bool = False) -> Iterator[pa.Table]:
     """A DataFrame's rows as Arrow tables of the schema's types, one partition after the other, the next one while this one is read.
 

@@ -47,7 +47,7 @@ def checked_key(key, operation: str, empty: bool = False) -> str:
 
 
 def s3_settings(**options) -> tuple[str, dict[str, str]]:
-    """The root URI of a bucket and the ``fs.s3a`` settings that a store's options mean."""
+    """The root URI of a bucket and the ``fs.s3a.bucket`` settings that a store's options mean."""
     if unknown := set(options) - S3_KEYS:
         raise invalid("open", f"unknown options: {len(unknown)}")
     o = S3_DEFAULTS | options
@@ -71,22 +71,24 @@ def s3_settings(**options) -> tuple[str, dict[str, str]]:
         raise invalid("open", "explicit credentials need access_key_id and secret_access_key")
     if provider == "standard" and keyed:
         raise invalid("open", "standard credentials take no keys")
-    conf = {
-        "fs.s3a.endpoint.region": o["region"],
-        "fs.s3a.path.style.access": str(o["path_style"]).lower(),
-        "fs.s3a.connection.ssl.enabled": str(o["tls"]).lower(),
-        "fs.s3a.connection.timeout": str(o["request_timeout"]),
-        "fs.s3a.attempts.maximum": str(o["max_retries"] + 1),
-        "fs.s3a.connection.maximum": str(o["max_concurrency"]),
-        "fs.s3a.multipart.size": str(o["multipart_part_size"]),
-        "fs.s3a.fast.upload.active.blocks": str(o["multipart_in_flight"]),
+    own = {
+        "endpoint.region": o["region"],
+        "path.style.access": str(o["path_style"]).lower(),
+        "connection.ssl.enabled": str(o["tls"]).lower(),
+        "connection.timeout": str(o["request_timeout"]),
+        "attempts.maximum": str(o["max_retries"] + 1),
+        "connection.maximum": str(o["max_concurrency"]),
+        "multipart.size": str(o["multipart_part_size"]),
+        "fast.upload.active.blocks": str(o["multipart_in_flight"]),
     }
     if endpoint:
-        conf["fs.s3a.endpoint"] = endpoint
+        own["endpoint"] = endpoint
     if provider == "explicit":
-        conf |= {"fs.s3a.access.key": o["access_key_id"], "fs.s3a.secret.key": o["secret_access_key"], "fs.s3a.aws.credentials.provider": "org.apache.hadoop.fs.s3a.SimpleAWSCredentialsProvider"}
+        own |= {"access.key": o["access_key_id"], "secret.key": o["secret_access_key"], "aws.credentials.provider": "org.apache.hadoop.fs.s3a.SimpleAWSCredentialsProvider"}
         if o.get("session_token"):
-            conf |= {"fs.s3a.session.token": o["session_token"], "fs.s3a.aws.credentials.provider": "org.apache.hadoop.fs.s3a.TemporaryAWSCredentialsProvider"}
+            own |= {"session.token": o["session_token"], "aws.credentials.provider": "org.apache.hadoop.fs.s3a.TemporaryAWSCredentialsProvider"}
+    # of this bucket alone, so that stores with other credentials can be open beside it
+    conf = {f"fs.s3a.bucket.{o['bucket'].lower()}.{k}": v for k, v in own.items()}
     prefix = checked_key(o.get("prefix") or "", "open", empty=True)
     return f"s3a://{o['bucket'].lower()}" + (f"/{prefix}" if prefix else ""), conf
 
@@ -238,17 +240,16 @@ class Store:
     def open_writer(self, key: str) -> ObjectWriter:
         return ObjectWriter(self, checked_key(key, "put"))
 
-    def move(self, source: str, key: str) -> None:
-        """A staged object (a path under this store) to its key, over an older one."""
+    def move(self, source: str, key: str, over: bool = True) -> None:
+        """A staged object or folder (a path under this store) to its key, over an older one or only where there is none."""
         with guarded("put"):
             jvm = self.spark._jvm
-            context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs().makeQualified(self._jpath("")).toUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+            fs = self._fs()
+            context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.makeQualified(self._jpath("")).toUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
             rename = jvm.org.apache.hadoop.fs.Options.Rename
             options = self.spark.sparkContext._gateway.new_array(rename, 1)
-            options[0] = rename.OVERWRITE
-            parent = self._jpath(key).getParent()
-            self._fs().mkdirs(parent)
-            fs = self._fs()
+            options[0] = rename.OVERWRITE if over else rename.NONE
+            fs.mkdirs(self._jpath(key).getParent())
             context.rename(fs.makeQualified(self._jpath(source)), fs.makeQualified(self._jpath(key)), options)
 
     def remove_tree(self, key: str) -> None:
