@@ -4,6 +4,7 @@ import os
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.errors import EngineError
 from tidemark.functions.types import Field, Schema
@@ -24,30 +25,31 @@ UTC = dt.timezone.utc
 
 
 def test_objects(store):
-    m = store.put("a/b.bin", [b"0123", "456", [b"789"]])
-    assert (m.key, m.size) == ("a/b.bin", 10)
-    assert store.read("a/b.bin") == b"0123456789"
-    assert store.read_range("a/b.bin", 2, 4) == b"2345"
-    assert store.read_range("a/b.bin", 8, 100) == b"89"
-    assert store.read_range("a/b.bin", 10, 1) == b""
-    fails("invalid_argument", store.read_range, "a/b.bin", 11, 1)
-    store.put("a/b.bin", b"new")
-    assert store.read("a/b.bin") == b"new"
-    assert store.head("a/b.bin").modified_unix_ns > 10**18
-    store.delete("a/b.bin")
+    m = store.put("x/y/z.dat", [b"ab", [], ["cd", [b"efg"]], b""])
+    assert (m.key, m.size) == ("x/y/z.dat", 7) and store.head("x/y/z.dat") == m
+    assert store.read("x/y/z.dat") == b"abcdefg"
+    assert [store.read_range("x/y/z.dat", *r) for r in ((0, 0), (0, 3), (3, 4), (6, 50), (7, 5))] == [b"", b"abc", b"defg", b"g", b""]
+    for bad in ((8, 0), (-1, 1), (0, -1), (0, 1.0), (True, 1)):
+        fails("invalid_argument", store.read_range, "x/y/z.dat", *bad)
+    store.put("x/y/z.dat", b"")
+    assert store.read("x/y/z.dat") == b"" and store.head("x/y/z.dat").size == 0
+    assert store.head("x/y/z.dat").modified_unix_ns > 10**18
+    store.delete("x/y/z.dat")
     for f in (store.head, store.read, store.delete):
-        fails("not_found", f, "a/b.bin")
-    fails("not_found", store.head, "a")
+        fails("not_found", f, "x/y/z.dat")
+    fails("not_found", store.head, "x")  # a folder
 
 
 def test_range_bound(spark, tmp_path):
-    s = Store.open(spark, "local", str(tmp_path), max_range_bytes=4)
-    s.put("x", b"0123456789")
-    assert s.read_range("x", 2, 4) == b"2345" and s.read("x") == b"0123456789"
-    fails("invalid_argument", s.read_range, "x", 0, 5)
+    s = Store.open(spark, "local", str(tmp_path), max_range_bytes=3)
+    s.put("long", bytes(range(11)))  # read whole by four ranges
+    assert s.read("long") == bytes(range(11)) and s.read_range("long", 9, 3) == b"\x09\x0a"
+    fails("invalid_argument", s.read_range, "long", 0, 4)
+    for bad in (0, True, 2**33, "3"):
+        fails("invalid_argument", lambda b=bad: Store.open(spark, "local", str(tmp_path), max_range_bytes=b))
 
 
-@pytest.mark.parametrize("key", ["", "/absolute", "../escape", "a/../escape", "a//b", "a\\b", "C:/tmp", "./a", "a/", None, 3])
+@pytest.mark.parametrize("key", ["/etc/x", "..", "x/..", "../../x", "x/./y", "x//y", "x/", "\\\\host\\x", "x\\y", "d:x", "Z:/x", "nul\0l", "", None, 7, b"x"])
 def test_bad_keys(store, key):
     for f in (store.head, store.read, store.delete, store.open_writer):
         fails("invalid_argument", f, key)
@@ -104,8 +106,10 @@ def test_open(spark, tmp_path):
 def test_s3_settings():
     uri, conf = s3_settings(bucket="My-Bucket", prefix="a/b", endpoint="https://s3.example.org:9000", region="eu-1", path_style=True, access_key_id="id", secret_access_key="k", max_retries=2)
     assert uri == "s3a://my-bucket/a/b"
-    assert conf["fs.s3a.endpoint"] == "https://s3.example.org:9000" and conf["fs.s3a.path.style.access"] == "true" and conf["fs.s3a.access.key"] == "id" and conf["fs.s3a.attempts.maximum"] == "3"
-    assert "fs.s3a.access.key" not in s3_settings(bucket="abc")[1]
+    own = {k.removeprefix("fs.s3a.bucket.my-bucket."): v for k, v in conf.items()}
+    assert own["endpoint"] == "https://s3.example.org:9000" and own["path.style.access"] == "true" and own["access.key"] == "id" and own["attempts.maximum"] == "3"
+    other = s3_settings(bucket="abc")[1]
+    assert not any("key" in k for k in other) and not set(other) & set(conf)  # two buckets share no setting
     for bad in (
         {}, {"bucket": "x"}, {"bucket": "abc", "endpoint": "https://h/path"}, {"bucket": "abc", "endpoint": "http://h"}, {"bucket": "abc", "endpoint": "https://u@h"}, {"bucket": "abc", "multipart_part_size": 1}, {"bucket": "abc", "max_concurrency": 0},
         {"bucket": "abc", "credential_provider": "explicit"}, {"bucket": "abc", "credential_provider": "standard", "access_key_id": "x"}, {"bucket": "abc", "odd": 1}, {"bucket": "abc", "prefix": "../x"},
@@ -332,13 +336,122 @@ def test_continuous_writer(store):
     w.write([{"at": micros(13), "id": 2}])
     w.write({"at": [micros(14)], "id": [3]})
     w.write(Batch.new(schema, {"at": [micros(12, 5)], "id": [4]}))
-    assert store.list() == []
-    assert w.close().rows == 4
+    w.write(store.spark.createDataFrame([(micros(15), 5)], "at long, id long"))
+    assert store.list() == [] and w.published == []
+    assert w.close().rows == 5
     fails("invalid_argument", w.write, {"at": 1, "id": 1})
     w = ds.open_writer()
-    w.write({"at": micros(15), "id": 5})
+    w.write({"at": micros(15), "id": 6})
     w.cancel()
-    assert [r["id"] for r in ds.read(at(12), at(16))] == [1, 4, 2, 3]
+    assert [r["id"] for r in ds.read(at(12), at(16))] == [1, 4, 2, 3, 5]
+
+
+def test_continuous_writer_is_bounded(store):
+    schema = Schema.of([("at", "int64", False), ("id", "int64", False)])
+    ds = Dataset.new(store, "w", schema, ("time", "at", "hour"))
+    w = ds.open_writer(max_open_partitions=2, max_rows_per_file=3)
+    for i in range(14):
+        w.write({"at": micros(12 + i % 2, i), "id": i})
+        assert w._rows < 6 and len(w.published) == len(store.list("w"))
+    assert sum(p.rows for p in w._parts) == 12
+    e = fails("invalid_argument", w.write, [{"at": micros(1), "id": "x"}])
+    assert "published" not in e.details  # nothing was begun
+    w.cancel()  # what is published stays
+    assert sorted(r["id"] for r in ds.read(at(12), at(14))) == list(range(12))
+    w = ds.open_writer(max_open_partitions=1, max_rows_per_file=2)
+    w.write([{"at": micros(15), "id": 20}, {"at": micros(15), "id": 21}])
+    w.write(store.spark.createDataFrame([(None, 22)], "at long, id long"))
+    e = fails("invalid_argument", w.close)
+    assert e.details["published"] == w.published and len(w.published) == 1
+    assert [r["id"] for r in ds.read(at(15), at(16))] == [20, 21]
+
+
+def test_rotation_by_bytes(store):
+    schema = Schema.of([("at", "int64", False), ("text", "string")])
+    ds = Dataset.new(store, "w", schema, ("time", "at", "hour"), compression="uncompressed")
+    sizes = [100, 900, 50, 50, 5000, 10, None, 980, 10, 10]  # the beginning tells nothing about the rest
+    rows = [{"at": micros(12 + i % 2, i), "text": None if n is None else "x" * n} for i, n in enumerate(sizes * 4)]
+    r = ds.write(rows, max_bytes_per_file=1024)
+    assert r.rows == 40 and len(ds.read(at(12), at(14))) == 40
+    for p in r.parts:
+        texts = [x["text"] or "" for x in files.read(store, p.key)]
+        assert sum(len(x) + 20 for x in texts) <= 1200 or len(texts) == 1
+    assert max(p.rows for p in r.parts) > 2
+
+
+def test_stream_lists_and_opens_on_demand(hours, monkeypatch):
+    listed = []
+    plain = Dataset._files
+    monkeypatch.setattr(Dataset, "_files", lambda self, p: listed.append(p) or plain(self, p))
+    s = hours.stream(at(0), at(23), batch_size=1)
+    assert listed == []
+    taken = [b.to_rows()[0]["id"] for _, b in zip(range(3), s)]
+    found = s.stats()
+    assert taken == [1, 2, 3] and len(listed) == 13 and (found["opened_files"], found["peak_active_files"], found["listed_partitions"], found["planned_partitions"]) == (2, 1, 13, 23)
+    s.close()
+    assert len(listed) == 13
+    for depth in (2, 16):
+        s = hours.stream(at(0), at(23), batch_size=1, prefetch_depth=depth)
+        assert [b.to_rows()[0]["id"] for b in s] == [1, 2, 3, 4, 5, 6]
+    s = hours.stream(at(0), at(23), batch_size=1, prefetch_depth=2)
+    next(iter(s))
+    import time
+
+    time.sleep(3)
+    s.close()
+    assert s.stats()["opened_files"] <= 2  # one batch taken, two ahead and one in the hand
+
+
+def test_ahead():
+    made = []
+
+    def items():
+        for i in range(10):
+            made.append(i)
+            yield i
+        raise ValueError("end")
+
+    import time
+
+    it = files.ahead(items(), 3)
+    assert next(it) == 0
+    time.sleep(0.5)
+    assert len(made) == 5  # one taken, three ready, one waiting to be
+    with pytest.raises(ValueError, match="end"):
+        list(it)
+    it = files.ahead(items(), 2)
+    next(it)
+    it.close()
+
+
+@pytest.mark.parametrize("zone", ["America/New_York", "Asia/Kolkata"])
+@pytest.mark.parametrize("kind", ["int64", ("timestamp", "microsecond", "UTC"), ("timestamp", "microsecond", None)], ids=str)
+def test_datasets_do_not_depend_on_the_session_zone(spark, store, zone, kind):
+    schema = Schema.of([("at", kind, False), ("id", "int64", False)])
+    ds = Dataset.new(store, "z", schema, ("time", "at", "hour"))
+    start = dt.datetime(2024, 3, 9, 20)  # over a night in which New York's clock skips an hour
+    number = ds.time.encode
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        df = spark.createDataFrame([(number(start) + i * 1_800_000_000, i) for i in range(40)], "m long, id long")
+        moment = F.col("m") if kind == "int64" else F.timestamp_micros("m") if kind[2] else ds.time.timestamp(F.col("m"), integer=True)
+        r = ds.write(df.select(moment.alias("at"), "id"))
+        assert r.rows == 40 and {p.partition for p in r.parts} == {ds.time.path(start + dt.timedelta(minutes=30 * i)) for i in range(40)}
+        assert min(number(p.min_timestamp) for p in r.parts) == number(start)
+        assert [x["id"] for x in ds.read(start, start + dt.timedelta(hours=20), columns=["id"])] == list(range(40))
+        assert [x["id"] for x in ds.read(start + dt.timedelta(hours=3), start + dt.timedelta(hours=8), columns=["id"])] == list(range(6, 16))
+        assert ds.scan(start + dt.timedelta(hours=3), start + dt.timedelta(hours=8)).count() == 10
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_order_when_names_clash(store):
+    schema = Schema.of([("at", "int64", False), ("hour", "int64", False)])
+    ds = Dataset.new(store, "c", schema, ("time", "at", "hour"))
+    ds.write([{"at": micros(h), "hour": 100 + h} for h in (10, 2, 9, 23)])
+    want = [102, 109, 110, 123]  # by number, not by text
+    assert [r["hour"] for r in ds.read(at(0), at(23, 30))] == want
+    assert [r["hour"] for b in ds.stream(at(0), at(23, 30)) for r in b.to_rows()] == want
 
 
 def test_streaming_writer(spark, store, tmp_path):

@@ -2,26 +2,35 @@
 
 A write derives the partition numbers as columns, lets AQE rebalance rows by
 partition (a partition that holds most rows is split over tasks), and writes
-hidden staged files with one Spark job; these are then moved to their folders
-and reported. A range read passes Spark only folders that can overlap the range
-and prunes partitions and row groups by pushed-down conditions.
+hidden staged files with one Spark job; these are then published, a folder by
+one rename where its partition is new, and reported. A range scan passes Spark
+only folders that can overlap the range and prunes partitions and row groups by
+pushed-down conditions; a stream lists and opens one partition and one file at a
+time, as far as it is read.
 """
 
 from __future__ import annotations
 
+import datetime as dt
 import uuid
-from collections.abc import Iterable
+from collections import Counter
+from collections.abc import Iterable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..errors import EngineError, guarded, invalid
 from ..functions.inference import instant, to_arrow, to_columns
 from ..functions.predicate import compare, timestamp_literal
 from ..functions.timepart import MAX_PARTITIONS, TimePartition
 from ..functions.types import Schema
-from ..sources.files import Stream, checked_options, projected
+from ..sources.files import Stream, arrow_tables, checked_options, projected
 from ..sources.files import OPTIONS as READ_OPTIONS
 from ..sources.store import Store, checked_key
 from . import telemetry
@@ -29,14 +38,17 @@ from .batch import Batch
 from .writer import spark_options
 
 # Options of a dataset writer and their defaults. Spark sorts a task's rows by
-# partition and so has one file open at a time, which is within any max_open_partitions; batches
-# of rows are Spark's, so batch_rows is checked and has no further effect.
+# partition and so has one file open at a time, which is within any max_open_partitions; it and
+# max_rows_per_file bound what a continuous writer holds. Batches of rows are Spark's, so
+# batch_rows is checked and has no further effect.
 WRITE_DEFAULTS = {"max_open_partitions": 4, "max_rows_per_file": 100_000, "max_bytes_per_file": 64 * 1024 * 1024, "batch_rows": 1024}
 CODECS = ("zstd", "snappy", "uncompressed")
 #: Folders that a read names to Spark one by one, at most; a longer plan names the folders above them.
 MAX_FOLDERS = 256
-#: Rows that a file's bytes are estimated from.
-SAMPLE_ROWS = 1000
+#: Renames that run at once.
+MOVES = 16
+#: The staged folder level that numbers a partition's files.
+FILE = "__file"
 
 
 @dataclass(frozen=True)
@@ -111,26 +123,37 @@ class Dataset:
 
     def frame(self, data) -> DataFrame:
         """Any accepted input as a DataFrame of the dataset's schema."""
+        frames = [self._framed(x) for x in self._gathered(self._pieces(data))]
+        while len(frames) > 1:  # in pairs: the plan grows as log(n) deep
+            frames = [a[0].unionByName(a[1]) if len(a) == 2 else a[0] for a in (frames[i : i + 2] for i in range(0, len(frames), 2))]
+        return frames[0] if frames else self._framed(to_arrow({}, self.schema))
+
+    def _pieces(self, data) -> list:
+        """Any accepted input as DataFrames and checked Arrow tables."""
+        if isinstance(data, _Pieces):
+            return data
         if isinstance(data, DataFrame):
             if set(data.columns) != set(self.schema.names):
                 raise invalid("write", "the input's fields must be exactly those of the schema")
-            target = self.schema.to_spark()
-            return data.select(*(F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in target.fields))
+            return [data.select(*(F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in self.schema.to_spark().fields))]
         if isinstance(data, Batch):
             if data.schema != self.schema:
                 raise invalid("write", "the batch's schema must equal the dataset's")
-            return self.store.spark.createDataFrame(_spark_table(data.to_arrow(), self.schema), self.schema.to_spark())
+            return [data.to_arrow()]
         if isinstance(data, Iterable) and not hasattr(data, "keys"):
             items = list(data)
             if any(isinstance(x, (Batch, DataFrame)) or isinstance(x, list) for x in items):
-                frames = [self.frame(x) for x in items]
-                out = frames[0]
-                for f in frames[1:]:
-                    out = out.unionByName(f)
-                return out
+                return [p for x in items for p in self._pieces(x)]
             data = items
-        table = to_arrow(to_columns(data), self.schema)
-        return self.store.spark.createDataFrame(_spark_table(table, self.schema), self.schema.to_spark())
+        return [to_arrow(to_columns(data), self.schema)]
+
+    def _gathered(self, pieces: list) -> list:
+        """``pieces`` with their tables as one, after the DataFrames."""
+        tables = [p for p in pieces if not isinstance(p, DataFrame)]
+        return [p for p in pieces if isinstance(p, DataFrame)] + ([pa.concat_tables(tables)] if tables else [])
+
+    def _framed(self, piece) -> DataFrame:
+        return piece if isinstance(piece, DataFrame) else self.store.spark.createDataFrame(_spark_table(piece, self.schema), self.schema.to_spark())
 
     # --- writing
 
@@ -159,31 +182,25 @@ class Dataset:
             bad = bad | F.coalesce(x, F.lit(False))
         return df.withColumn(self.time.column, F.when(bad, F.raise_error(F.lit("a row does not fit the dataset"))).otherwise(c))
 
-    def _rows_per_file(self, df: DataFrame, o: dict) -> int:
-        if o["max_bytes_per_file"] >= WRITE_DEFAULTS["max_bytes_per_file"] and o["max_rows_per_file"] <= WRITE_DEFAULTS["max_rows_per_file"]:
-            wide = [f for f in self.schema.fields if f.type in ("utf8", "binary") or isinstance(f.type, tuple) and f.type[0] in ("list", "large_list", "struct")]
-            if not wide:  # 64 MiB hold so many rows of fixed width
-                return o["max_rows_per_file"]
-        width = df.limit(SAMPLE_ROWS).agg(F.avg(F.length(F.to_json(F.struct("*"), {"ignoreNullFields": "false"})))).first()[0] or 1
-        return max(1, min(o["max_rows_per_file"], int(o["max_bytes_per_file"] / max(1, width))))
-
     def _write(self, df: DataFrame, o: dict) -> WriteReport:
         staged = f"{self.prefix}/_staging-{uuid.uuid4().hex}"
         hidden = {s: f"__{s}" for s in self.time.segments}
         published: list[str] = []
+        parts: list[Part] = []
         with guarded("dataset_write"):
             try:
                 routed = self._checked(df).withColumn("__moment", self._moment())
                 routed = routed.withColumns({hidden[s]: c for s, c in self.time.value_columns(F.col("__moment")).items()}).drop("__moment")
                 # rebalancing splits a partition that holds most rows over several tasks and files
                 routed = routed.hint("rebalance", *hidden.values())
-                out = routed.write.options(**spark_options({"compression": self.compression})).option("maxRecordsPerFile", self._rows_per_file(df, o))
-                out.partitionBy(*hidden.values()).mode("append").parquet(self.store.path(staged))
-                parts = []
-                for key, target, part in self._report(staged):
-                    self.store.move(key, target)
-                    published.append(target)
-                    parts.append(part)
+                folders = list(hidden.values())
+                if o["max_bytes_per_file"] < WRITE_DEFAULTS["max_bytes_per_file"]:  # the default is what AQE gives a task at most
+                    routed, folders = _numbered(routed, folders, o), [*folders, FILE]
+                out = routed.write.options(**spark_options({"compression": self.compression})).option("maxRecordsPerFile", o["max_rows_per_file"])
+                out.partitionBy(*folders).mode("append").parquet(self.store.path(staged))
+                found = self._report(staged)
+                self._publish(found, published)
+                parts = [part for _, _, part in found]
             except EngineError as e:
                 e.details["published"] = published
                 raise
@@ -200,20 +217,48 @@ class Dataset:
         return report
 
     def _report(self, staged: str) -> list[tuple[str, str, Part]]:
-        """(staged key, key, part) of each staged file: its counts come from one aggregation by file."""
-        spark, column = self.store.spark, F.col(f"`{self.time.column}`")
+        """(staged key, key, part) of each staged file: its counts come from one aggregation by file, which reads the timestamps alone."""
+        spark, numbers = self.store.spark, self._numbers
+        moment = F.col(f"`{self.time.column}`") if numbers else self.time.timestamp()
         # each folder level is a partition column of a name that no data column has
         df = spark.read.schema(self.schema.to_spark()).option("pathGlobFilter", "*.parquet").parquet(self.store.path(staged))
-        rows = df.groupBy(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size")).agg(F.count("*").alias("rows"), F.min(column).alias("low"), F.max(column).alias("high")).collect()
+        rows = df.groupBy(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size")).agg(F.count("*").alias("rows"), F.min(moment).alias("low"), F.max(moment).alias("high")).collect()
+        zone = dt.timezone.utc if not numbers and self._kind[2] else None
+        shown = lambda v: v.replace(tzinfo=zone) if zone and v is not None else v
         out = []
         for r in rows:
             inner = r["path"].rpartition(staged.rpartition("/")[2] + "/")[2]
             folder, _, name = inner.rpartition("/")
+            folder, _, number = folder.partition(f"/{FILE}=")
             folder = "/".join(x.removeprefix("__") for x in folder.split("/"))
-            key = f"{self.prefix}/{folder}/{name}"
-            out.append((f"{staged}/{inner}", key, Part(key, folder, r["rows"], r["size"], r["low"], r["high"])))
+            key = f"{self.prefix}/{folder}/" + (f"{number}-" if number else "") + name
+            out.append((f"{staged}/{inner}", key, Part(key, folder, r["rows"], r["size"], shown(r["low"]), shown(r["high"]))))
         return out
 
+    def _publish(self, found: list[tuple[str, str, Part]], published: list[str]) -> None:
+        """Moves staged files to their keys, several folders at once; a partition that is new takes its folder whole."""
+        folders: dict[str, list[tuple[str, str]]] = {}
+        for key, target, _ in found:
+            folders.setdefault(target.rpartition("/")[0], []).append((key, target))
+
+        def move(folder: str, keys: list[tuple[str, str]]) -> None:
+            source = {key.rpartition("/")[0] for key, _ in keys}
+            if len(source) == 1 and keys[0][0].rpartition("/")[2] == keys[0][1].rpartition("/")[2]:
+                try:
+                    self.store.move(source.pop(), folder, over=False)
+                    published.extend(target for _, target in keys)
+                    return
+                except EngineError as e:
+                    if e.category not in ("conflict", "native_failure"):
+                        raise
+            for key, target in keys:  # the partition is there already
+                self.store.move(key, target)
+                published.append(target)
+
+        with ThreadPoolExecutor(MOVES) as pool:
+            for done in [pool.submit(move, *x) for x in folders.items()]:
+                done.result()
+
     # --- reading
 
     def plan(self, start, until, max_partitions: int = MAX_PARTITIONS):
@@ -249,52 +294,59 @@ class Dataset:
                     return spark.createDataFrame([], full).select(*(F.col(f"`{n}`") for n in names))
                 df = reader.schema(full).parquet(*paths)
             else:
-                from pyspark.sql import types as T
-
                 for s in self.time.segments:
                     full = full.add(T.StructField(s, T.IntegerType()))
                 df = reader.schema(full).option("basePath", self.store.path(self.prefix)).parquet(*paths)
                 df = df.where(self.time.condition(low, high))
-            kind = self._kind if not self._numbers else ("integer", 64, True)
-            ts = F.col(f"`{self.time.column}`")
-            df = df.where((ts >= timestamp_literal(low, kind)) & (ts < timestamp_literal(high, kind)))
+            df = df.where(self._within(low, high))
             if condition is not None:
                 df = df.where(condition)
             if ordered:
-                df = df.orderBy(*([] if self._clash else self.time.segments), "_metadata.file_path", "_metadata.file_block_start", "_metadata.row_index")
+                numbers = [F.regexp_extract("_metadata.file_path", f"/{s}=([0-9]+)/", 1).try_cast("int") for s in self.time.segments]
+                df = df.orderBy(*numbers, "_metadata.file_path", "_metadata.file_block_start", "_metadata.row_index")
             return df.select(*(F.col(f"`{n}`") for n in names))
 
     def stream(self, start=None, until=None, max_partitions: int = MAX_PARTITIONS, **options) -> DatasetStream:
-        """Batches of ``scan`` in order of partition, file and row; nothing is listed until the first is asked for."""
+        """Batches in order of partition, file and row. A partition is listed, and a file opened, only once it is its turn."""
         if start is None or until is None:
             raise invalid("dataset_read", "a range needs its start and its end")
         o = checked_options("dataset_read", options, READ_OPTIONS)
         names = projected(self.schema, o["columns"], "dataset_read")
-        if o["where"] is not None:
-            compare(o["where"], self.schema, timestamps=True)
-        planned = self.plan(start, until, max_partitions)
-        return DatasetStream(self, planned, lambda: self.scan(start, until, o["columns"], o["where"], max_partitions, ordered=True), self.schema.select(names), o)
+        condition = compare(o["where"], self.schema, timestamps=True) if o["where"] is not None else None
+        low, high = (instant(x, self.time.unit, "dataset_read") for x in (start, until))
+        keep = self._within(low, high) if condition is None else self._within(low, high) & condition
+        return DatasetStream(self, self.plan(low, high, max_partitions), keep, self.schema.select(names), o)
 
-    def read(self, start=None, until=None, **options) -> list[dict]:
+    def read(self, start=None, until=None, max_partitions: int = MAX_PARTITIONS, **options) -> list[dict]:
+        """All selected rows, in the order of ``stream``, by one job."""
         with telemetry.operation("dataset_read", self.store.backend):
-            return [row for batch in self.stream(start, until, **options) for row in batch.to_rows()]
+            stream = self.stream(start, until, max_partitions, **options)  # checks what is asked for
+            o = checked_options("dataset_read", options, READ_OPTIONS)
+            df = self.scan(start, until, o["columns"], o["where"], max_partitions, ordered=True)
+            return [row for batch in Stream(df, stream.schema, o["batch_size"], o["prefetch_depth"], self.store.backend) for row in batch.to_rows()]
+
+    def _within(self, low: int, high: int) -> Column:
+        kind = self._kind if not self._numbers else ("integer", 64, True)
+        ts = F.col(f"`{self.time.column}`")
+        return (ts >= timestamp_literal(low, kind)) & (ts < timestamp_literal(high, kind))
+
+    def _files(self, partition: str) -> tuple[list[str], int] | None:
+        """Keys of the Parquet files of one partition in order, and how many objects are none; None where there is no folder."""
+        fs, path = self.store._fs(), self.store._jpath(f"{self.prefix}/{partition}")
+        if not fs.exists(path):
+            return None
+        names = [s.getPath().getName() for s in fs.listStatus(path) if not s.isDirectory()]
+        names = [n for n in names if not n.startswith((".", "_"))]
+        keys = sorted((f"{self.prefix}/{partition}/{n}" for n in names if n.endswith(".parquet")), key=str.encode)
+        return keys, len(names) - len(keys)
 
     def listing(self, planned: list) -> dict:
         """What a plan finds: partitions planned, listed, with files and skipped; files found, and objects that are none."""
-        found = {"planned_partitions": len(planned), "listed_partitions": 0, "partitions_with_files": 0, "discovered_files": 0, "skipped_objects": 0}
-        fs = self.store._fs()
-        for p in planned:
-            path = self.store._jpath(f"{self.prefix}/{p.path}")
-            found["listed_partitions"] += 1
-            if not fs.exists(path):
-                continue
-            names = [s.getPath().getName() for s in fs.listStatus(path) if not s.isDirectory()]
-            names = [n for n in names if not n.startswith((".", "_"))]
-            files = sum(n.endswith(".parquet") for n in names)
-            found["partitions_with_files"] += files > 0
-            found["discovered_files"] += files
-            found["skipped_objects"] += len(names) - files
-        return found | {"skipped_partitions": found["listed_partitions"] - found["partitions_with_files"]}
+        found = Counter(planned_partitions=len(planned))
+        with ThreadPoolExecutor(MOVES) as pool:
+            for files in pool.map(lambda p: self._files(p.path), planned):
+                _counted(found, files)
+        return {k: found[k] for k in LISTED}
 
     def parts(self, start, until) -> DataFrame:
         """A DataFrame of the files that a range reads: path, size, rows, and least and greatest timestamp in the range."""
@@ -310,56 +362,125 @@ class Dataset:
             return self.store.spark.createDataFrame([], full).withColumns({"path": F.lit(""), "size": F.lit(0).cast("bigint")})
         df = self.store.spark.read.option("pathGlobFilter", "*.parquet").schema(full).parquet(*(self.store.path(f"{self.prefix}/{p}") for p in folders))
         low, high = (instant(x, self.time.unit, "dataset_read") for x in (start, until))
-        kind = self._kind if not self._numbers else ("integer", 64, True)
-        c = F.col(f"`{self.time.column}`")
-        return df.where((c >= timestamp_literal(low, kind)) & (c < timestamp_literal(high, kind))).withColumns({"path": F.col("_metadata.file_path"), "size": F.col("_metadata.file_size")})
+        return df.where(self._within(low, high)).withColumns({"path": F.col("_metadata.file_path"), "size": F.col("_metadata.file_size")})
+
+
+#: What a listing counts.
+LISTED = ("planned_partitions", "listed_partitions", "partitions_with_files", "skipped_partitions", "discovered_files", "skipped_objects")
+
+
+def _counted(found: Counter, files: tuple[list[str], int] | None) -> None:
+    keys, others = files or ([], 0)
+    found.update(listed_partitions=1, partitions_with_files=bool(keys), skipped_partitions=not keys, discovered_files=len(keys), skipped_objects=others)
 
 
 class DatasetStream(Stream):
-    def __init__(self, dataset: Dataset, planned: list, make, own: Schema, o: dict):
-        super().__init__(None, own, o["batch_size"], o["prefetch_depth"], dataset.store.backend)
-        self._dataset, self._planned, self._make = dataset, planned, make
+    """One file after the other, by a scan each; closing it leaves the rest unlisted."""
 
-    def _pull(self):
-        self._df = self._make()
-        yield from super()._pull()
+    def __init__(self, dataset: Dataset, planned: list, keep: Column, own: Schema, o: dict):
+        super().__init__(None, own, o["batch_size"], o["prefetch_depth"], dataset.store.backend)
+        self._dataset, self._planned, self._keep = dataset, planned, keep
+        self._found: Counter = Counter(planned_partitions=len(planned))
+
+    def _tables(self):
+        store, full = self._dataset.store, self._dataset.schema.to_spark()
+        for p in self._planned:
+            files = self._dataset._files(p.path)
+            _counted(self._found, files)
+            for key in files[0] if files else ():
+                self._found.update(opened_files=1)
+                self._found["peak_active_files"] = 1
+                df = store.spark.read.schema(full).parquet(store.path(key)).where(self._keep)
+                yield from arrow_tables(df.select(*(F.col(f"`{n}`") for n in self._schema.names)), self._schema)
 
     def stats(self) -> dict:
-        """Batches and rows so far; once begun, what the plan found."""
-        out = {"batches": self._batches, "rows": self._rows, "planned_partitions": len(self._planned)}
-        return out | self._dataset.listing(self._planned) | {"opened_files": len(self._df.inputFiles())} if self._df is not None else out
+        """Batches and rows so far; partitions listed, files found and opened on the way."""
+        return {"batches": self._batches, "rows": self._rows} | {k: self._found[k] for k in (*LISTED, "opened_files", "peak_active_files")}
 
 
 class DatasetWriter:
-    """Collects input until ``close``, which writes it as one job; ``cancel`` drops it. Nothing shows before."""
+    """Takes input until ``close``. Rows that are handed over are written and published once there are as many as
+    ``max_open_partitions`` files hold (by rows or bytes); DataFrames, which hold none here, at ``close``. ``cancel``
+    drops what is not published; ``published`` has the keys of what is."""
 
     def __init__(self, dataset: Dataset, options: dict):
         self.dataset, self.options = dataset, options
-        self._frames: list[DataFrame] = []
+        self._pieces: list = []
+        self._rows = self._bytes = 0
+        self._parts: list[Part] = []
         self.open = True
 
+    @property
+    def published(self) -> list[str]:
+        return [p.key for p in self._parts]
+
     def write(self, data) -> None:
         if not self.open:
             raise invalid("dataset_write", "the writer is closed")
-        self._frames.append(self.dataset.frame(data))
+        o = self.options
+        for piece in self.dataset._pieces(data):
+            self._pieces.append(piece)
+            if not isinstance(piece, DataFrame):
+                self._rows += piece.num_rows
+                self._bytes += piece.nbytes
+        if self._rows >= o["max_open_partitions"] * o["max_rows_per_file"] or self._bytes >= o["max_open_partitions"] * o["max_bytes_per_file"]:
+            self._flush([p for p in self._pieces if not isinstance(p, DataFrame)])
+            self._pieces = [p for p in self._pieces if isinstance(p, DataFrame)]
+            self._rows = self._bytes = 0
+
+    def _flush(self, pieces: list) -> None:
+        try:
+            self._parts += self.dataset._write(self.dataset.frame(_Pieces(pieces)), self.options).parts
+        except EngineError as e:
+            self.open, self._pieces = False, []
+            e.details["published"] = self.published + list(e.details.get("published", ()))
+            raise
 
     def close(self) -> WriteReport:
         if not self.open:
             raise invalid("dataset_write", "the writer is closed")
         self.open = False
-        if not self._frames:
-            return WriteReport()
-        frames = self._frames
-        while len(frames) > 1:  # in pairs: the plan grows as log(n) deep
-            frames = [a[0].unionByName(a[1]) if len(a) == 2 else a[0] for a in (frames[i : i + 2] for i in range(0, len(frames), 2))]
-        return self.dataset._write(frames[0], self.options)
+        if self._pieces:
+            self._flush(self._pieces)
+        return WriteReport(tuple(sorted(self._parts, key=lambda p: p.key)))
 
     def cancel(self) -> None:
         if self.open:
-            self.open, self._frames = False, []
+            self.open, self._pieces = False, []
             telemetry.emit(("cancellation",), {"cancellations": 1}, {"kind": "dataset_writer", "backend": self.dataset.store.backend, "source_count": 1})
 
 
+class _Pieces(list):
+    """What ``Dataset._pieces`` made."""
+
+
+def _numbered(df: DataFrame, keys: list[str], o: dict) -> DataFrame:
+    """``df`` with ``FILE``: the number of the file of its partition that a row goes to, so that none holds more bytes (as Arrow holds them) or rows than it may, but for a row that is larger by itself."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state: dict[tuple, tuple[int, int, int]] = {}  # of each partition: the file's number, its bytes and rows
+        for batch in batches:
+            n = batch.num_rows
+            width = sum((_widths(c) for c in batch.columns), np.zeros(n, dtype=np.int64))
+            numbers = np.empty(n, dtype=np.int32)
+            for i, (key, size) in enumerate(zip(zip(*(batch.column(k).to_pylist() for k in keys), strict=True), width.tolist(), strict=True)):
+                number, held, rows = state.get(key, (0, 0, 0))
+                if rows and (held + size > o["max_bytes_per_file"] or rows >= o["max_rows_per_file"]):
+                    number, held, rows = number + 1, 0, 0
+                state[key] = (number, held + size, rows + 1)
+                numbers[i] = number
+            yield batch.append_column(FILE, pa.array(numbers))
+
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(FILE, T.IntegerType())]))
+
+
+def _widths(column: pa.Array) -> np.ndarray:
+    """Bytes of each value: its own for text and bytes, else the column's mean."""
+    if pa.types.is_string(column.type) or pa.types.is_binary(column.type) or pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type):
+        return pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 4
+    return np.full(len(column), -(-column.nbytes // max(1, len(column))), dtype=np.int64)
+
+
 def _write_options(options: dict) -> dict:
     if set(options) - set(WRITE_DEFAULTS):
         raise invalid("dataset_write", "unknown options")
@@ -371,9 +492,6 @@ def _write_options(options: dict) -> dict:
 
 def _spark_table(table, schema: Schema):
     """An Arrow table as Spark takes it: types that Spark lacks become the numbers or bytes it holds them as."""
-    import pyarrow as pa
-    import pyarrow.compute as pc
-
     arrays = []
     for f, c in zip(schema.fields, table.columns, strict=True):
         head = f.type[0] if isinstance(f.type, tuple) else f.type

@@ -185,7 +185,9 @@ def _write_frame(store: Store, key: str, df: DataFrame, schema: Schema | None, o
     staged = f"{folder}/" * bool(folder) + f"_staging-{uuid.uuid4().hex}"
     with guarded("write"):
         try:
-            df.coalesce(1).write.options(**spark_options(o)).mode("overwrite").parquet(store.path(staged))
+            # one task encodes the file; what comes before runs as wide as it is, unless rows have an order to keep
+            plain = df._jdf.queryExecution().optimizedPlan().outputOrdering().isEmpty()
+            (df.repartition(1) if plain else df.coalesce(1)).write.options(**spark_options(o)).mode("overwrite").parquet(store.path(staged))
             fs, path = store._fs(), store._jpath(staged)
             parts = [s.getPath().getName() for s in fs.listStatus(path) if s.getPath().getName().endswith(".parquet")]
             if not parts:  # no partition at all
