@@ -2,6 +2,10 @@
 
 import glob
 import os
+import shutil
+import subprocess
+import sys
+from pathlib import Path
 
 import duckdb
 import pytest
@@ -40,3 +44,22 @@ def test_entry(spark):
 
     assert set(ORACLE) == set(QUERIES) and set(QUERIES) <= set(__spark_entry__.queries())
     assert __spark_entry__.entry(spark).columns == ["event_id", "user_id"]
+
+
+ROOT = Path(__file__).resolve().parent.parent
+
+
+@pytest.mark.parametrize("gone", [(), ("corpus_pipeline.py",)], ids=["folders", "folders and pipeline"])
+def test_without_the_training_data_operators(tmp_path, gone):
+    """The rest imports and registers its queries once the operators' folders are deleted, with or without the pipeline."""
+    for name in ("tidemark", "tests"):
+        shutil.copytree(ROOT / name, tmp_path / name, ignore=shutil.ignore_patterns("__pycache__"))
+    for name in ("__spark_entry__.py", "corpus_pipeline.py", "bench.py"):
+        if (ROOT / name).exists():
+            shutil.copy(ROOT / name, tmp_path)
+    for name in ("tidemark/llm", "tests/llm"):
+        shutil.rmtree(tmp_path / name, ignore_errors=True)
+    for name in gone:
+        (tmp_path / name).unlink(missing_ok=True)
+    code = "import __spark_entry__ as e, tests.test_catalog as t; assert set(e.queries()) == set(e.oracle_sql()) == set(t.QUERIES), set(e.queries()) ^ set(t.QUERIES)"
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={**os.environ, "PYTHONPATH": ""}, timeout=120)
