@@ -8,7 +8,8 @@ near-good or short (undecided). What the markup says is evidence beside these:
   are those in forms and in elements whose class, id or role names an advert, a
   notice, navigation or readers' comments, unless the page has no other text;
   then such a name only lowers a block's label by one step.
-* Vaguer names (a side, a share bar) lower it by one step.
+* Vaguer names (a side, a share bar) lower it by one step, unless their element
+  holds half of the page's words.
 * ``article`` (or else ``main``) elements that hold at least half of the page's
   other words are its article: blocks in them are decided among themselves, and
   long ones of few stop words count as near-good; a block elsewhere needs the
@@ -100,6 +101,8 @@ LONG, SHORT = 30, 8
 STOP_HIGH, STOP_LOW, MAX_LINKS = 0.16, 0.08, 0.4
 #: Share of a page's words from which ``article`` (or ``main``) elements are its article.
 MAIN_SHARE = 0.5
+#: Vaguely named elements, one in another, that are told apart.
+MAX_VAGUE = 8
 LOWER = {"good": "near", "near": "short", "short": "bad", "bad": "bad"}
 
 
@@ -111,10 +114,10 @@ class Block:
     #: The element it begins in, and the level of the heading or 0.
     element: str
     heading: int
-    #: In an element that is boilerplate; in one named so; in one vaguely named so.
+    #: In an element that is boilerplate; in one named so; the numbers of those vaguely named so that it is in.
     boilerplate: bool
     named: bool
-    vague: bool
+    vague: tuple[int, ...]
     article: bool
     main: bool
 
@@ -127,12 +130,12 @@ def blocks(page: str) -> list[Block]:
     """Blocks in page order."""
     out: list[Block] = []
     # an open element: (name, boilerplate, named, vague, article, main)
-    outside = ("", False, False, False, False, False)
+    outside = ("", False, False, (), False, False)
     stack = [outside]
     opened: Counter[str] = Counter()
     parts: list[str] = []
     linked: list[str] = []
-    element, heading, links, unclosed = "", 0, 0, 0
+    element, heading, links, unclosed, number = "", 0, 0, 0, 0
     absent: set[str] = set()  # elements without a closing tag from here on
 
     def end() -> None:
@@ -207,7 +210,9 @@ def blocks(page: str) -> list[Block]:
             label = " ".join(values[k] for k in ("class", "id", "role") if k in values)
             if label and name not in ("html", "body", "main"):
                 named = named or bool(NAMED.search(label))
-                vague = vague or bool(VAGUE.search(label)) and not ARTICLE.search(label)
+                if len(vague) < MAX_VAGUE and VAGUE.search(label) and not ARTICLE.search(label):
+                    number += 1
+                    vague = (*vague, number)
             hidden = "hidden" in values or values.get("aria-hidden", "").lower() == "true" or bool(NO_DISPLAY.search(values.get("style", "")))
             # the header of an article is its own heading
             boilerplate = boilerplate or hidden or name in BOILERPLATE and not (name == "header" and (article or main))
@@ -284,13 +289,18 @@ def kept(found: list[Block]) -> list[Block]:
     if any(first[id(b)] != "bad" for b in found if not b.named):
         found = [b for b in found if not b.named]
     total = sum(b.words for b in found)
+    held: Counter[int] = Counter()
+    for b in found:
+        held.update(dict.fromkeys(b.vague, b.words))
     region = next((x for x in ("article", "main") if total and sum(b.words for b in found if getattr(b, x)) >= MAIN_SHARE * total), None)
     within, labels = [], []
     sure: set[int] = set()
     for b in found:
         label = first[id(b)]
-        if b.vague or b.named:
+        if b.named or any(held[x] < MAIN_SHARE * total for x in b.vague):
             label = LOWER[label]
+            if label == "bad" != first[id(b)]:
+                continue  # by its name, which tells nothing about its neighbours
         if region is None:
             within.append(b)
             labels.append(label)
