@@ -9,7 +9,8 @@ with the token itself masked.
 Tokens are lower-case words parted by white space. The network's vocabulary
 grows with the corpus: the ``WORDS`` most frequent words and every word that
 occurs ``FREQUENT`` times. Any other word is for the network one of ``OTHERS``
-symbols by its hash; in the likelihood that symbol's probability is multiplied
+symbols by its last two characters, which tell more of its language and place in
+a sentence than its hash would; in the likelihood that symbol's probability is multiplied
 by the word's share of the symbol's tokens (``learn_shares``): its own count for
 every word that occurs ``LISTED`` times, the mean count of the rarer ones for
 these. One unseen word of count 1 is counted with each symbol, so that words
@@ -18,11 +19,13 @@ beyond the corpus have a probability too.
 Training is data-parallel, in numpy. In each of ``ROUNDS`` rounds every task
 starts from the same parameters and takes Adagrad steps over its documents,
 with one in ``STRIDE`` positions of each document as targets (the others in the
-next round, so that each position is a target once, and context throughout); the results are averaged by the number of
-targets, in two levels, so that no task sums more than a share of them. What is
-gathered grows with the number of tasks and of distinct words; a task sends the
-network, and tasks are joined as it grows, so that together they send no more
-than in proportion to the corpus.
+next round, so that each position is a target once, and context throughout);
+the results are averaged by the number of targets, in two levels, so that no
+task sums more than a share of them. What is gathered grows with the number of
+tasks and of distinct words; a task sends the network, and tasks are joined as
+it grows, so that together they send no more than in proportion to the corpus.
+Texts are split into words twice, to count them and to encode them as symbols;
+the rounds and the scoring read the encoded table.
 
 Defined cases: null and empty texts have no tokens, log probability 0 and mean
 0; repeated rows are scored each (and train each); a null id stays null; very
@@ -106,54 +109,80 @@ class Network:
             h = h + self.tables[k][context[k]]
         return np.tanh(h + self.bias)
 
-    def log_probabilities(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
-        h = self.hidden(context)
+    def by_group(self, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The order of targets by group, the ends of groups in it, and the places within them in it."""
         group, word = self.places(target)
-        out = _log_softmax(h @ self.group_w + self.group_b)[np.arange(len(target)), group]
-        order = np.argsort(group, kind="stable")
-        ends = np.searchsorted(group[order], np.arange(self.side + 1))
+        order = np.argsort(group.astype(np.uint16), kind="stable")
+        return order, np.searchsorted(group[order], np.arange(self.side + 1)), word[order]
+
+    def log_probabilities(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
+        order, ends, word = self.by_group(target)
+        h = self.hidden(context[:, order])
+        columns = np.arange(len(target))
+        found = _log_softmax_at(self.group_w.T @ h.T + self.group_b[:, None], np.repeat(np.arange(self.side), np.diff(ends)), columns)
         for g in range(self.side):
-            own = order[ends[g] : ends[g + 1]]
-            if len(own):
-                out[own] += _log_softmax(h[own] @ self.word_w[g] + self.word_b[g])[np.arange(len(own)), word[own]]
+            a, b = ends[g], ends[g + 1]
+            if a < b:
+                found[a:b] += _log_softmax_at(self.word_w[g].T @ h[a:b].T + self.word_b[g][:, None], word[a:b], columns[: b - a])
+        out = np.empty_like(found)
+        out[order] = found
         return out
 
     def train_step(self, context: np.ndarray, target: np.ndarray, squares: Network, rate: float = RATE) -> None:
         """One Adagrad step on the mean log loss; ``squares`` holds the summed squares of gradients."""
         n = len(target)
+        order, ends, word = self.by_group(target)
+        context = context[:, order]  # of one group after another, so that a group's rows are a slice
         h = self.hidden(context)
-        group, word = self.places(target)
-        error = np.exp(_log_softmax(h @ self.group_w + self.group_b))
-        error[np.arange(n), group] -= 1
-        back = error @ self.group_w.T
-        steps = [("group_w", ..., h.T @ error), ("group_b", ..., error.sum(0))]
-        order = np.argsort(group, kind="stable")
-        ends = np.searchsorted(group[order], np.arange(self.side + 1))
+        columns = np.arange(n)
+        # symbols down, positions across: sums over the symbols are sums of long rows
+        error = _softmax(self.group_w.T @ h.T + self.group_b[:, None])
+        error[np.repeat(np.arange(self.side), np.diff(ends)), columns] -= 1
+        back = error.T @ self.group_w.T
+        steps = [("group_w", ..., h.T @ error.T), ("group_b", ..., error.sum(1))]
+        word_w, word_b = np.zeros_like(self.word_w), np.zeros_like(self.word_b)
         for g in range(self.side):
-            own = order[ends[g] : ends[g + 1]]
-            if len(own):
-                x = h[own]
-                e = np.exp(_log_softmax(x @ self.word_w[g] + self.word_b[g]))
-                e[np.arange(len(own)), word[own]] -= 1
-                back[own] += e @ self.word_w[g].T
-                steps += [("word_w", g, x.T @ e), ("word_b", g, e.sum(0))]
+            a, b = ends[g], ends[g + 1]
+            if a < b:
+                e = _softmax(self.word_w[g].T @ h[a:b].T + self.word_b[g][:, None])
+                e[word[a:b], columns[: b - a]] -= 1
+                back[a:b] += e.T @ self.word_w[g].T
+                np.matmul(h[a:b].T, e.T, out=word_w[g])
+                e.sum(1, out=word_b[g])
+        steps += [("word_w", ..., word_w), ("word_b", ..., word_b)]
         back *= 1 - h * h
         steps.append(("bias", ..., back.sum(0)))
         for k in range(len(OFFSETS)):
-            by = np.argsort(context[k], kind="stable")
+            by = np.argsort(context[k].astype(np.uint16) if self.side < 256 else context[k], kind="stable")
             ids = context[k][by]
             starts = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
             steps.append(("tables", (k, ids[starts]), np.add.reduceat(back[by], starts)))
         for name, where, gradient in steps:
-            gradient = gradient / np.float32(n)
+            gradient *= np.float32(1 / n)
             view, seen = getattr(self, name), getattr(squares, name)
-            seen[where] += gradient * gradient
-            view[where] -= rate * gradient / (np.sqrt(seen[where]) + 1e-6)
+            sums = seen[where] + gradient * gradient
+            seen[where] = sums
+            np.sqrt(sums, out=sums)
+            sums += np.float32(1e-6)
+            gradient /= sums
+            gradient *= np.float32(rate)
+            view[where] -= gradient
+
+
+def _softmax(x: np.ndarray) -> np.ndarray:
+    """Of each column, in place."""
+    x -= x.max(0)
+    np.exp(x, out=x)
+    x /= x.sum(0)
+    return x
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(1, keepdims=True)
-    return x - np.log(np.exp(x).sum(1, keepdims=True))
+def _log_softmax_at(x: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    """The log softmax of each column of ``x`` (which is used up) at one of its rows."""
+    x -= x.max(0)
+    own = x[rows, columns]
+    np.exp(x, out=x)
+    return own - np.log(x.sum(0))
 
 
 def others_of(hashes: np.ndarray) -> np.ndarray:
@@ -194,7 +223,9 @@ def targets(lengths: np.ndarray, number: int, rounds: int = ROUNDS, stride: int
 
 
 def words_of(text):
-    return F.transform(F.filter(F.split(F.lower(text), SPACE_CLASS), lambda w: w != F.lit("")), lambda w: F.xxhash64(w))
+    """The numbers of a text's words: hashes, whose last bits are the symbol (of OTHERS, a power of two) that a word has if it is beyond the vocabulary."""
+    number = lambda w: F.xxhash64(w).bitwiseAND(F.lit(-OTHERS)).bitwiseOR(F.pmod(F.xxhash64(F.substring(w, -2, 2)), F.lit(OTHERS)))
+    return F.transform(F.filter(F.split(F.lower(text), SPACE_CLASS), lambda w: w != F.lit("")), number)
 
 
 def count_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -257,14 +288,50 @@ def _texts(batch: pa.RecordBatch, vocabulary: np.ndarray, places: np.ndarray, mo
         at = end
 
 
-def train(docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS, stride: int = STRIDE, counts: DataFrame | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Vocabulary, its symbols, and the flat parameters; ``counts`` are those of ``count_words``."""
-    counts = count_words(docs, text_col) if counts is None else counts
-    vocabulary, places = learn_vocabulary(counts)
-    flat = Network(side=side_of(len(vocabulary))).flat
-    n_tokens = counts.agg(F.sum("count")).first()[0] or 0
-    rows = docs.select(words_of(text_of(text_col)).alias("words"))
-    rows = rows.coalesce(max(docs.sparkSession.sparkContext.defaultParallelism, n_tokens // (TOKENS_A_PARAMETER * len(flat))))
+def encode(docs: DataFrame, vocabulary: np.ndarray, places: np.ndarray, shares: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows (id_col, n_tokens, symbols, share): of each document its symbols, as whole numbers of ``symbol_type``, and the sum of its words' log shares."""
+    kind = symbol_type(vocabulary)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, at = batch.column("id"), 0
+            for first, end, hashes, tokens, lengths in _texts(batch, vocabulary, places):
+                total = np.zeros(end - first)
+                some = lengths > 0
+                if shares is not None and some.any():
+                    total[some] = np.add.reduceat(log_shares(hashes, tokens, shares), (np.cumsum(lengths) - lengths)[some])
+                ends = np.concatenate([[0], np.cumsum(lengths)]) * kind.itemsize
+                held = pa.Array.from_buffers(pa.large_binary(), end - first, [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(tokens.astype(kind))]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([ids.slice(at, end - first), pa.array(lengths), held, pa.array(total)], names=["id", "n_tokens", "symbols", "share"])
+                at += end - first
+
+    own = docs.schema[id_col].dataType.simpleString()
+    rows = docs.select(F.col(id_col).alias("id"), words_of(text_of(text_col)).alias("words"))
+    return rows.mapInArrow(run, f"id {own}, n_tokens bigint, symbols binary, share double").withColumnRenamed("id", id_col)
+
+
+def symbol_type(vocabulary: np.ndarray) -> np.dtype:
+    """The little-endian type that symbols are written in."""
+    return np.dtype("<u2" if len(vocabulary) + OTHERS + 1 < 1 << 16 else "<u4")
+
+
+def _documents(batch: pa.RecordBatch, kind: np.dtype, most: int = 1 << 17) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end row, symbols, lengths) of some rows at a time."""
+    lengths = batch.column("n_tokens").to_numpy().astype(np.int64)
+    held, ends, at = batch.column("symbols"), np.cumsum(lengths), 0
+    while at < len(lengths):
+        before = ends[at] - lengths[at]
+        end = max(at + 1, int(np.searchsorted(ends, before + most, side="right")))
+        yield at, end, np.frombuffer(b"".join(x.as_buffer() for x in held.slice(at, end - at)), dtype=kind).astype(np.int32), lengths[at:end]
+        at = end
+
+
+def train(encoded: DataFrame, vocabulary: np.ndarray, rounds: int = ROUNDS, stride: int = STRIDE) -> np.ndarray:
+    """The flat parameters of a network for the documents that ``encode`` gives."""
+    flat, kind = Network(side=side_of(len(vocabulary))).flat, symbol_type(vocabulary)
+    n_tokens = encoded.agg(F.sum("n_tokens")).first()[0] or 0
+    rows = encoded.select("n_tokens", "symbols")
+    rows = rows.coalesce(max(encoded.sparkSession.sparkContext.defaultParallelism, n_tokens // (TOKENS_A_PARAMETER * len(flat))))
 
     def one_round(start: np.ndarray, number: int) -> np.ndarray:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,7 +341,7 @@ def train(docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS, stride:
             held: list[tuple[np.ndarray, np.ndarray]] = []
             waiting = seen = 0
             for batch in batches:
-                for _, _, _, tokens, lengths in _texts(batch, vocabulary, places):
+                for _, _, tokens, lengths in _documents(batch, kind):
                     flat_tokens, place = with_padding(tokens, lengths)
                     chosen = place[targets(lengths, number, rounds, stride)]
                     held.append((contexts(flat_tokens, chosen), flat_tokens[chosen]))
@@ -307,33 +374,37 @@ def train(docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS, stride:
 
     for number in range(rounds):
         flat = one_round(flat, number)
-    return vocabulary, places, flat
+    return flat
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, np.ndarray], id_col: str = "doc_id", text_col: str = "text", shares: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None) -> DataFrame:
-    """Rows (id_col, n_tokens, logprob, mean_logprob), one for each row of ``docs``: of the words with ``shares``, of their symbols without."""
-    vocabulary, places, flat = model
+def score(encoded: DataFrame, vocabulary: np.ndarray, flat: np.ndarray, id_col: str = "doc_id") -> DataFrame:
+    """Rows (id_col, n_tokens, logprob, mean_logprob), one for each document that ``encode`` gives: of its words if it was given shares, else of their symbols."""
+    kind = symbol_type(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = Network(flat)
         for batch in batches:
-            n = np.zeros(batch.num_rows, dtype=np.int64)
-            total = np.zeros(batch.num_rows)
-            for first, end, hashes, tokens, lengths in _texts(batch, vocabulary, places):
+            total = batch.column("share").to_numpy().copy()
+            for first, end, tokens, lengths in _documents(batch, kind):
                 flat_tokens, place = with_padding(tokens, lengths)
                 logs = np.zeros(len(tokens))
                 for i in range(0, len(place), CHUNK):
                     p = place[i : i + CHUNK]
                     logs[i : i + CHUNK] = net.log_probabilities(contexts(flat_tokens, p), flat_tokens[p])
-                if shares is not None:
-                    logs += log_shares(hashes, tokens, shares)
                 some = lengths > 0
-                n[first:end] = lengths
                 if some.any():
-                    total[first:end][some] = np.add.reduceat(logs, (np.cumsum(lengths) - lengths)[some])
-            mean = total / np.maximum(n, 1)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n), pa.array(total), pa.array(mean)], names=["id", "n_tokens", "logprob", "mean_logprob"])
+                    total[first:end][some] += np.add.reduceat(logs, (np.cumsum(lengths) - lengths)[some])
+            n = batch.column("n_tokens").to_numpy()
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n), pa.array(total), pa.array(total / np.maximum(n, 1))], names=["id", "n_tokens", "logprob", "mean_logprob"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), words_of(text_of(text_col)).alias("words"))
-    return rows.mapInArrow(run, f"id {kind}, n_tokens bigint, logprob double, mean_logprob double").withColumnRenamed("id", id_col)
+    own = encoded.schema[id_col].dataType.simpleString()
+    rows = encoded.select(F.col(id_col).alias("id"), "n_tokens", "symbols", "share")
+    return rows.mapInArrow(run, f"id {own}, n_tokens bigint, logprob double, mean_logprob double").withColumnRenamed("id", id_col)
+
+
+def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """A network trained on ``docs`` and their scores by it. Texts are counted once and encoded once; all rounds and the scoring read the encoded table."""
+    counts = count_words(docs, text_col)
+    vocabulary, places = learn_vocabulary(counts)
+    encoded = cut(encode(docs, vocabulary, places, learn_shares(counts, vocabulary), id_col, text_col))
+    return score(encoded, vocabulary, train(encoded, vocabulary), id_col)

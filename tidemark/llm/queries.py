@@ -9,12 +9,9 @@ from .common import literal_rows, table
 
 
 def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .lm_score import count_words, learn_shares, score, train
+    from .lm_score import lm_scores
 
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    counts = count_words(docs)
-    model = train(docs, counts=counts)
-    return score(docs, model, shares=learn_shares(counts, model[0]))
+    return lm_scores(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def fold_of(id_col: str = "doc_id"):
