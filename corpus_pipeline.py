@@ -5,7 +5,9 @@ give the columns of ``documents``. Stages are written as Parquet between them,
 in the shared checkpoint folder, so that a lost executor costs no earlier stage.
 
 Defined cases are those of the operators; a table without rows gives an empty
-result at every stage.
+result at every stage. Stages with Python workers lower the session's
+``spark.sql.execution.arrow.maxRecordsPerBatch`` to ARROW_ROWS, and leave it so:
+their plans run after they return.
 """
 
 from __future__ import annotations
@@ -78,7 +80,7 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: Scores of a learned lexicon, similarity classes and packing are beyond SQL; the tests hold each stage against a brute-force version.
+#: Scores of a learned lexicon, similarity classes and packing are beyond SQL; the tests hold each stage against a brute-force version: every term compared at every place, all pairs, matches by Python's expressions, raking in Python, ids of the tokenizers library.
 ORACLE_SQL = None
 
 
