@@ -864,17 +864,16 @@ def test_mixing_targets_that_cannot_be_met(spark):
     found = mixing.margins(mixing.fit(df, targets, 0.6), targets, 0.6).toPandas()
     notes = found[found.value == "note"].iloc[0]
     assert notes.wanted == 0.5 and notes.feasible < 0.06
-    assert (found.expected - found.feasible).abs().max() < 1e-3 and found[found.dimension == "source"].expected.tolist() == pytest.approx([0.45, 0.55], abs=1e-3)
+    assert (found.expected - found.feasible).abs().max() < 1e-3 and sorted(found[found.dimension == "source"].expected) == pytest.approx([0.45, 0.55], abs=1e-3)
 
 
 def test_mixing_beyond_the_bounds(spark, docs, monkeypatch):
     args = ({"source": 0.5, "topic": {"prose": 0.8}}, 0.5)
-    cols = ("doc_id", "probability", "sampled")
     of = lambda df: sorted(((r[0], round(r[1], 6), r[2]) for r in df.select("doc_id", "mix.probability", "mix.sampled").collect()), key=repr)
-    want = of(mixing.mix(docs, *args))
+    want = of(mixing.mix(docs, *args, max_sweeps=4))
     monkeypatch.setattr(mixing, "MAX_BROADCAST_CELLS", 0)
     monkeypatch.setattr(mixing, "MAX_WINDOW_CELLS", 0)
-    assert len(cols) == 3 and of(mixing.mix(docs, *args, max_sweeps=12)) == want
+    assert of(mixing.mix(docs, *args, max_sweeps=4)) == want
 
 
 def test_secrets_beyond_the_bounds(spark, odd, monkeypatch):

@@ -22,8 +22,7 @@ which is several times faster; ``engine="tokenizers"`` uses that library itself.
 
 Defined cases: null and empty texts have the separator alone; repeated rows are
 packed each; a null id stays null; very long texts, and runs of white space of
-any length, are cut like others; an
-empty table gives no pieces.
+any length, are cut like others; an empty table gives no pieces.
 """
 
 from __future__ import annotations
