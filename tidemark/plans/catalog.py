@@ -136,7 +136,7 @@ def queries() -> dict[str, Query]:
 
     out["q_range_proj_pred"] = lambda s, d: written(s, d).scan(*RANGE, columns=["user_id", "event_id"], where=("gte", "user_id", 50))
     for g in GRANULARITIES:
-        out[f"q_range_{g}"] = lambda s, d, g=g: written(s, d, g).scan(*RANGE)
+        out[f"q_range_{g}"] = (lambda s, d, g=g: written(s, d, g).scan(*RANGE)) if g != "minute" else _minutes
     out["q_range_boundary"] = _boundary
     out["q_range_empty"] = lambda s, d: written(s, d).scan(RANGE[0], RANGE[0])
     out["q_range_missing"] = lambda s, d: written(s, d).scan(dt.datetime(2030, 1, 1), dt.datetime(2030, 1, 3))
@@ -199,6 +199,14 @@ def _filter_nan(spark, sf_dir):
     return files.scan(store, "nan.parquet", where=("gt", "price", 100000.0))
 
 
+def _minutes(spark, sf_dir):
+    """Every event at a time within one hour, half of it in the range: the events' own times would make a file for each of them."""
+    ds = events_dataset(spark, "minute", schema=Schema.of([("event_id", "int64"), ("ts", ("timestamp", "microsecond", None))]))
+    seconds = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), (F.col("event_id") * 37 % 3600).cast("decimal(18,6)"))
+    ds.write(source(spark, sf_dir, "events").select("event_id", (F.lit("2024-01-04 23:30:00").cast("timestamp_ntz") + seconds).alias("ts")))
+    return ds.scan(*RANGE)
+
+
 def _boundary(spark, sf_dir):
     """From one event's instant up to another's: the first is in, the second is not."""
     ends = source(spark, sf_dir, "events").agg(F.percentile_approx(F.unix_micros(F.col("ts").cast("timestamp")), [0.25, 0.5], 1_000_000).alias("p")).first()["p"]
@@ -609,6 +617,7 @@ def oracle_sql() -> dict[str, str]:
     out["q_range_proj_pred"] = f"SELECT event_id, user_id FROM events WHERE {between} AND user_id >= 50"
     for g in GRANULARITIES:
         out[f"q_range_{g}"] = f"SELECT * FROM events WHERE {between}"
+    out["q_range_minute"] = f"SELECT * FROM (SELECT event_id, TIMESTAMP '2024-01-04 23:30:00' + to_seconds(event_id * 37 % 3600) AS ts FROM events) WHERE {between}"
     micros = "(SELECT list_sort(list(epoch_us(ts))) AS l FROM events)"
     nth = lambda p: f"(SELECT l[CAST(ceil({p} * len(l)) AS BIGINT)] FROM {micros})"
     out["q_range_boundary"] = f"SELECT event_id, ts FROM events WHERE epoch_us(ts) >= {nth(0.25)} AND epoch_us(ts) < {nth(0.5)}"
