@@ -39,6 +39,24 @@ def test_query(spark, db, name):
     assert sorted(repr([plain(r[c]) for c in columns]) for r in df.collect()) == want
 
 
+def test_boundary_among_many_instants(spark, tmp_path):
+    """The ends of the range are exact where there are more instants than an approximate percentile tells apart."""
+    n = 1_000_000
+    id_, at = "CAST(range AS BIGINT) AS event_id", f"TIMESTAMP '2024-01-05' + to_microseconds(range * 7919 % {n} * 100003)"
+    duckdb.execute(f"COPY (SELECT {id_}, {at} AS ts, 1::BIGINT AS user_id, 'a' AS event_type, 0::DOUBLE AS value, '' AS props FROM range({n})) TO '{tmp_path}/events.parquet'")
+    want = duckdb.execute(f"WITH events AS (SELECT * FROM '{tmp_path}/events.parquet') SELECT count(*), min(event_id), sum(event_id), min(ts), max(ts) FROM ({ORACLE['q_range_boundary']})").fetchone()
+    found = QUERIES["q_range_boundary"](spark, str(tmp_path)).selectExpr("count(*)", "min(event_id)", "sum(event_id)", "min(ts)", "max(ts)").first()
+    assert tuple(found) == want and want[0] == n // 4
+
+
+def test_at_shares(spark):
+    shares = [(1, 4), (1, 2), (1, 1)]
+    for values in ([7], [-1, 0, 1], [5] * 9, [-(2**63), 2**63 - 1, 0, -65536, -65537, 65535, 65536], [i * 7919 % 101 - 50 << i % 57 for i in range(400)]):
+        want = [sorted(values)[-(-a * len(values) // b) - 1] for a, b in shares]
+        assert catalog.at_shares(spark.createDataFrame([(v,) for v in [*values, None]], "v long"), shares) == want
+    assert catalog.at_shares(spark.createDataFrame([], "v long"), shares) is None
+
+
 def test_entry(spark):
     import __spark_entry__
 
