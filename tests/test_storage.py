@@ -366,6 +366,57 @@ def test_continuous_writer_is_bounded(store):
     assert [r["id"] for r in ds.read(at(15), at(16))] == [20, 21]
 
 
+def staged(store):
+    return [x for x in os.listdir(store.path("w")) if x.startswith("_staging")]
+
+
+def test_continuous_writer_stages(store, monkeypatch):
+    """Rows over many partitions leave the driver in time, but go to whole files by few jobs."""
+    jobs, plain = [], Dataset._write
+    monkeypatch.setattr(Dataset, "_write", lambda self, *a: jobs.append(1) or plain(self, *a))
+    schema = Schema.of([("at", "int64", False), ("id", "int64", False)])
+    ds = Dataset.new(store, "w", schema, ("time", "at", "hour"))
+    w = ds.open_writer(max_open_partitions=2, max_rows_per_file=10)
+    for i in range(0, 300, 5):
+        w.write([{"at": micros(8 + j % 12, j % 60, j // 60), "id": j} for j in range(i, i + 5)])
+        assert w._rows < 20 and len(w.published) == len(store.list("w")) and len(jobs) == (i >= 115) + (i >= 235)
+    assert len(staged(store)) == 1
+    report = w.close()
+    assert report.rows == 300 and len(report.parts) == 36 and max(p.rows for p in report.parts) == 10 and len(jobs) == 3 and not staged(store)
+    assert sorted(r["id"] for r in ds.read(at(8), at(20))) == list(range(300))
+    w = ds.open_writer(max_open_partitions=1, max_rows_per_file=2)
+    w.write([{"at": micros(8 + i), "id": 300 + i} for i in range(2)])
+    assert len(staged(store)) == 1 and w._rows == 0
+    w.cancel()
+    assert not staged(store) and len(ds.read(at(8), at(20))) == 300
+    w = ds.open_writer(max_open_partitions=1, max_rows_per_file=2)
+    w.write([{"at": micros(8 + i), "id": 300 + i} for i in range(2)])
+    w.write(store.spark.createDataFrame([(None, 302)], "at long, id long"))
+    assert fails("invalid_argument", w.close).details["published"] == [] and not staged(store)
+
+
+def test_continuous_writer_stages_all_types(store):
+    """What went through the staged file is what one write gives."""
+    names = [n for n in ALL_TYPES.names if n not in ("nothing", "wide")]  # not for datasets
+    schema = ALL_TYPES.select(names)
+    rows = [
+        {"flag": True, "signed": 1, "unsigned": 2**32 - 1, "big": 2**64 - 1, "ratio": 0.5, "name": "a", "payload": b"a\x00", "fixed": b"xy", "day": 19_000, "clock": 5, "watch": 7, "observed_at": BASE, "local": -1, "nanos": 10**18 + 1, "amount": "12345", "numbers": [1, None, 3], "pair": [0.5, None], "details": {"label": None, "count": 1}},
+        {"flag": None, "signed": 2**42, "unsigned": None, "big": None, "ratio": 1.0, "name": None, "payload": None, "fixed": None, "day": 0, "clock": 0, "watch": None, "observed_at": None, "local": None, "nanos": None, "amount": None, "numbers": [], "pair": None, "details": {"label": "x", "count": 2}},
+    ]
+    got = []
+    for prefix in ("w", "v"):
+        ds = Dataset.new(store, prefix, schema, ("time", "signed", "week"))
+        if prefix == "v":
+            ds.write(rows)
+        else:
+            w = ds.open_writer(max_open_partitions=1, max_rows_per_file=2)
+            w.write(rows)
+            assert len(staged(store)) == 1
+            w.close()
+        got.append(ds.read(0, 2**43))
+    assert got[0] == got[1] and len(got[0]) == 2
+
+
 def test_rotation_by_bytes(store):
     schema = Schema.of([("at", "int64", False), ("text", "string")])
     ds = Dataset.new(store, "w", schema, ("time", "at", "hour"), compression="uncompressed")

@@ -29,6 +29,7 @@ SEGMENTS = {
 MAX_PARTITIONS = 10_000
 
 _PER_SECOND = {"second": 1, "millisecond": 10**3, "microsecond": 10**6, "nanosecond": 10**9}
+_SECONDS = {"minute": 60, "hour": 3600, "day": 86_400, "week": 604_800, "month": 2_629_746}
 _EPOCH = dt.datetime(1970, 1, 1)
 _NUMBER = re.compile(r"0|[1-9][0-9]{0,4}")
 
@@ -72,6 +73,11 @@ class TimePartition:
     def segments(self) -> tuple[str, ...]:
         return SEGMENTS[self.granularity]
 
+    @property
+    def length(self) -> int:
+        """Units in a partition; of months, the mean."""
+        return _SECONDS[self.granularity] * _PER_SECOND[self.unit]
+
     # --- single values
 
     def moment(self, value) -> dt.datetime:

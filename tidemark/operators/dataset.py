@@ -12,18 +12,22 @@ time, as far as it is read.
 from __future__ import annotations
 
 import datetime as dt
+import io
 import uuid
 from collections import Counter
 from collections.abc import Iterable, Iterator
-from concurrent.futures import ThreadPoolExecutor
+from concurrent.futures import ThreadPoolExecutor, wait
+from contextlib import contextmanager, suppress
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..errors import EngineError, guarded, invalid
 from ..functions.inference import instant, to_arrow, to_columns
@@ -35,7 +39,7 @@ from ..sources.files import OPTIONS as READ_OPTIONS
 from ..sources.store import Store, checked_key
 from . import telemetry
 from .batch import Batch
-from .writer import spark_options
+from .writer import Sink, spark_options
 
 # Options of a dataset writer and their defaults. Spark sorts a task's rows by
 # partition and so has one file open at a time, which is within any max_open_partitions; it and
@@ -45,8 +49,11 @@ WRITE_DEFAULTS = {"max_open_partitions": 4, "max_rows_per_file": 100_000, "max_b
 CODECS = ("zstd", "snappy", "uncompressed")
 #: Folders that a read names to Spark one by one, at most; a longer plan names the folders above them.
 MAX_FOLDERS = 256
-#: Renames that run at once.
+#: Renames that run at once, by threads that last: one that ends closes its connection to the JVM, which takes it a while.
 MOVES = 16
+_pool = ThreadPoolExecutor(MOVES)
+#: What a continuous writer has staged at most before it publishes.
+MOST_STAGED = {"rows": 1_000_000, "bytes": 1 << 30}
 #: The staged folder level that numbers a partition's files.
 FILE = "__file"
 
@@ -240,24 +247,31 @@ class Dataset:
         folders: dict[str, list[tuple[str, str]]] = {}
         for key, target, _ in found:
             folders.setdefault(target.rpartition("/")[0], []).append((key, target))
+        place = self.store.mover()
 
         def move(folder: str, keys: list[tuple[str, str]]) -> None:
             source = {key.rpartition("/")[0] for key, _ in keys}
             if len(source) == 1 and keys[0][0].rpartition("/")[2] == keys[0][1].rpartition("/")[2]:
                 try:
-                    self.store.move(source.pop(), folder, over=False)
+                    place(source.pop(), folder, over=False)
                     published.extend(target for _, target in keys)
                     return
                 except EngineError as e:
                     if e.category not in ("conflict", "native_failure"):
                         raise
             for key, target in keys:  # the partition is there already
-                self.store.move(key, target)
+                place(key, target)
                 published.append(target)
 
-        with ThreadPoolExecutor(MOVES) as pool:
-            for done in [pool.submit(move, *x) for x in folders.items()]:
-                done.result()
+        moves = [_pool.submit(move, *x) for x in folders.items()]
+        wait(moves)
+        for done in moves:
+            done.result()
+
+    def _spans(self, table: pa.Table) -> list[int]:
+        """The spans of time, each about as long as a partition, in which the table has rows."""
+        units = pc.fill_null(table.column(self.time.column).cast(pa.int64()), 0).to_numpy()
+        return np.unique(units // self.time.length).tolist()
 
     # --- reading
 
@@ -343,9 +357,8 @@ class Dataset:
     def listing(self, planned: list) -> dict:
         """What a plan finds: partitions planned, listed, with files and skipped; files found, and objects that are none."""
         found = Counter(planned_partitions=len(planned))
-        with ThreadPoolExecutor(MOVES) as pool:
-            for files in pool.map(lambda p: self._files(p.path), planned):
-                _counted(found, files)
+        for files in _pool.map(lambda p: self._files(p.path), planned):
+            _counted(found, files)
         return {k: found[k] for k in LISTED}
 
     def parts(self, start, until) -> DataFrame:
@@ -399,16 +412,25 @@ class DatasetStream(Stream):
 
 
 class DatasetWriter:
-    """Takes input until ``close``. Rows that are handed over are written and published once there are as many as
-    ``max_open_partitions`` files hold (by rows or bytes); DataFrames, which hold none here, at ``close``. ``cancel``
-    drops what is not published; ``published`` has the keys of what is."""
+    """Takes input until ``close``. Rows that are handed over are held here until they are as many as
+    ``max_open_partitions`` files hold (by rows or bytes). They are then published if, with the rows staged before, they
+    fill files of the partitions they belong to and are as many as are published, and else staged: in a hidden file of the store, from which one job
+    writes whole files. What is staged is published at ``MOST_STAGED`` rows or bytes at the latest, DataFrames, which
+    hold none here, at ``close``. ``cancel`` drops what is not published; ``published`` has the keys of what is."""
 
     def __init__(self, dataset: Dataset, options: dict):
         self.dataset, self.options = dataset, options
         self._pieces: list = []
-        self._rows = self._bytes = 0
+        self._rows = self._bytes = 0  # held here
         self._parts: list[Part] = []
         self.open = True
+        self._anew()
+
+    def _anew(self) -> None:
+        self._staged = f"{self.dataset.prefix}/_staging-{uuid.uuid4().hex}"
+        self._staging = self._buffer = self._out = None  # Parquet, its bytes on their way, the object
+        self._waiting = self._waiting_bytes = 0  # not published: staged or held
+        self._spans: set[int] = set()  # of time, about a partition each, that these are in
 
     @property
     def published(self) -> list[str]:
@@ -424,29 +446,83 @@ class DatasetWriter:
                 self._rows += piece.num_rows
                 self._bytes += piece.nbytes
         if self._rows >= o["max_open_partitions"] * o["max_rows_per_file"] or self._bytes >= o["max_open_partitions"] * o["max_bytes_per_file"]:
-            self._flush([p for p in self._pieces if not isinstance(p, DataFrame)])
+            tables = [p for p in self._pieces if not isinstance(p, DataFrame)]
             self._pieces = [p for p in self._pieces if isinstance(p, DataFrame)]
+            self._waiting, self._waiting_bytes = self._waiting + self._rows, self._waiting_bytes + self._bytes
+            for t in tables:
+                self._spans.update(self.dataset._spans(t))
             self._rows = self._bytes = 0
+            if self._due():
+                self._flush(tables)
+            else:
+                self._stage(tables)
+
+    def _due(self) -> bool:
+        """Whether to publish: files would be full, and there are as many rows as are published, so that jobs are few."""
+        n, o = len(self._spans), self.options
+        if self._waiting >= MOST_STAGED["rows"] or self._waiting_bytes >= MOST_STAGED["bytes"]:
+            return True
+        full = self._waiting >= n * o["max_rows_per_file"] or self._waiting_bytes >= n * o["max_bytes_per_file"]
+        return full and self._waiting >= sum(p.rows for p in self._parts)
+
+    def _stage(self, tables: list) -> None:
+        """Adds the rows held to the staged file, a row group each time, as the types that Spark reads."""
+        with self._closing():
+            table, kinds = _spark_table(pa.concat_tables(tables), self.dataset.schema), to_arrow_schema(self.dataset.schema.to_spark())
+            if self._staging is None:
+                store = self.dataset.store
+                self._out = store._fs().create(store._jpath(f"{self._staged}/rows.parquet"), False)
+                self._buffer = io.BufferedWriter(Sink(self._out), 1 << 20)
+                self._staging = pq.ParquetWriter(pa.PythonFile(self._buffer, mode="w"), pa.schema(list(zip(kinds.names, kinds.types, strict=True))))
+            self._staging.write_table(pa.table([c.cast(k) for c, k in zip(table.columns, kinds.types, strict=True)], names=kinds.names))
 
     def _flush(self, pieces: list) -> None:
+        with self._closing():
+            store, staged = self.dataset.store, []
+            if self._staging is not None:
+                self._staging.close()
+                self._buffer.flush()
+                self._out.close()
+                staged = [store.spark.read.schema(self.dataset.schema.to_spark()).parquet(store.path(self._staged))]
+            self._parts += self.dataset._write(self.dataset.frame(_Pieces([*staged, *pieces])), self.options).parts
+        self._drop()
+
+    @contextmanager
+    def _closing(self):
+        """A fault in here closes the writer."""
         try:
-            self._parts += self.dataset._write(self.dataset.frame(_Pieces(pieces)), self.options).parts
-        except EngineError as e:
+            with guarded("dataset_write"):
+                yield
+        except BaseException as e:
             self.open, self._pieces = False, []
-            e.details["published"] = self.published + list(e.details.get("published", ()))
+            self._drop()
+            if isinstance(e, EngineError):
+                e.details["published"] = self.published + list(e.details.get("published", ()))
             raise
 
+    def _drop(self) -> None:
+        """Removes what is staged."""
+        if self._out is not None:
+            with suppress(Exception):  # closed already, or at fault
+                self._staging.close()
+                self._buffer.close()
+            with suppress(Exception):
+                self._out.close()
+            self.dataset.store.remove_tree(self._staged)
+        self._anew()
+
     def close(self) -> WriteReport:
         if not self.open:
             raise invalid("dataset_write", "the writer is closed")
         self.open = False
-        if self._pieces:
+        if self._pieces or self._staging is not None:
             self._flush(self._pieces)
         return WriteReport(tuple(sorted(self._parts, key=lambda p: p.key)))
 
     def cancel(self) -> None:
         if self.open:
             self.open, self._pieces = False, []
+            self._drop()
             telemetry.emit(("cancellation",), {"cancellations": 1}, {"kind": "dataset_writer", "backend": self.dataset.store.backend, "source_count": 1})
 
 

@@ -42,7 +42,7 @@ def checked_options(options: dict, codecs=tuple(CODECS), defaults: dict = DEFAUL
     return o
 
 
-class _Sink(io.RawIOBase):
+class Sink(io.RawIOBase):
     """Passes Arrow's bytes on to an object writer."""
 
     def __init__(self, out):
@@ -76,7 +76,7 @@ class FileWriter:
         about["ARROW:schema"] = base64.b64encode(schema.to_arrow().serialize().to_pybytes()).decode()
         try:
             self._parquet = pq.ParquetWriter(
-                pa.PythonFile(_Sink(self._out), mode="w"), pa.schema([pa.field(f.name, k, f.nullable) for f, k in zip(schema.to_arrow(), self._encoded, strict=True)]), compression=CODECS[o["compression"]], data_page_size=o["data_page_size_limit"], write_statistics=o["statistics"] == "chunk", version="2.6", store_schema=False
+                pa.PythonFile(Sink(self._out), mode="w"), pa.schema([pa.field(f.name, k, f.nullable) for f, k in zip(schema.to_arrow(), self._encoded, strict=True)]), compression=CODECS[o["compression"]], data_page_size=o["data_page_size_limit"], write_statistics=o["statistics"] == "chunk", version="2.6", store_schema=False
             )
             self._parquet.add_key_value_metadata(about)
         except (pa.ArrowInvalid, pa.ArrowNotImplementedError):

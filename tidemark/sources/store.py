@@ -6,7 +6,7 @@ import io
 import itertools
 import re
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
 from py4j.protocol import Py4JError
@@ -242,15 +242,32 @@ class Store:
 
     def move(self, source: str, key: str, over: bool = True) -> None:
         """A staged object or folder (a path under this store) to its key, over an older one or only where there is none."""
+        self.mover()(source, key, over)
+
+    def mover(self) -> Callable[..., None]:
+        """``move`` for many objects, also by threads: what each needs of the JVM is fetched once."""
         with guarded("put"):
             jvm = self.spark._jvm
             fs = self._fs()
-            context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.makeQualified(self._jpath("")).toUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
-            rename = jvm.org.apache.hadoop.fs.Options.Rename
-            options = self.spark.sparkContext._gateway.new_array(rename, 1)
-            options[0] = rename.OVERWRITE if over else rename.NONE
-            fs.mkdirs(self._jpath(key).getParent())
-            context.rename(fs.makeQualified(self._jpath(source)), fs.makeQualified(self._jpath(key)), options)
+            root = fs.makeQualified(self._jpath(""))
+            context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(root.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+            rename, new_path = jvm.org.apache.hadoop.fs.Options.Rename, jvm.org.apache.hadoop.fs.Path
+            options = {}
+            for over in (True, False):
+                options[over] = self.spark.sparkContext._gateway.new_array(rename, 1)
+                options[over][0] = rename.OVERWRITE if over else rename.NONE
+            root = root.toString().rstrip("/")
+        made: set[str] = set()
+
+        def move(source: str, key: str, over: bool = True) -> None:
+            with guarded("put"):
+                target, folder = new_path(f"{root}/{key}"), key.rpartition("/")[0]
+                if folder not in made:
+                    fs.mkdirs(target.getParent())
+                    made.add(folder)
+                context.rename(new_path(f"{root}/{source}"), target, options[over])
+
+        return move
 
     def remove_tree(self, key: str) -> None:
         with guarded("delete"):
